@@ -1,0 +1,41 @@
+"""Connected components by alternating large and small stars; each round is written to the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quotemill.llm import common
+
+
+def _near(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges in both directions, and each node with the least of itself and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both, both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    both, least = _near(edges)
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    linked = down.join(least, "a")
+    return linked.select("a", F.col("m").alias("b")).unionByName(linked.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of ``edges`` (a, b) but the roots; the root is the component's least node."""
+    spark = edges.sparkSession
+    now, path = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    mark = None
+    while True:
+        state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)).alias("h"), F.sum((F.col("b") >= F.col("a")).cast("int")).alias("up")).first()
+        if (state.n, state.h) == mark or not state.n:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        mark = (state.n, state.h)
+        nxt, at = common.materialize(_small(_large(now)), "links")
+        common.release(spark, path)
+        now, path = nxt, at

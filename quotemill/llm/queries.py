@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quotemill.llm.packing import packing_query
+from quotemill.llm.simhash import simhash_query
 from quotemill.llm.token_binary import token_files_query
 
 
@@ -10,6 +11,7 @@ def queries() -> dict:
     return {
         "op7_hilbert_packing": packing_query,
         "op9_token_files": token_files_query,
+        "op10_simhash_neardup": simhash_query,
     }
 
 
