@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from quotemill.llm.packing import packing_query
 from quotemill.llm.simhash import simhash_query
+from quotemill.llm.suffix_dedup import suffix_dedup_query
 from quotemill.llm.token_binary import token_files_query
 
 
 def queries() -> dict:
     return {
+        "op6_runindex_dedup": suffix_dedup_query,
         "op7_hilbert_packing": packing_query,
         "op9_token_files": token_files_query,
         "op10_simhash_neardup": simhash_query,
