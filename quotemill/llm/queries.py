@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from quotemill.llm.langid import langid_query
 from quotemill.llm.packing import packing_query
 from quotemill.llm.simhash import simhash_query
 from quotemill.llm.suffix_dedup import suffix_dedup_query
 from quotemill.llm.token_binary import token_files_query
+from quotemill.llm.toxicity import toxicity_query
 
 
 def queries() -> dict:
     return {
+        "op1_lexicon_toxicity": toxicity_query,
         "op6_runindex_dedup": suffix_dedup_query,
         "op7_hilbert_packing": packing_query,
+        "op8_mixture_langid": langid_query,
         "op9_token_files": token_files_query,
         "op10_simhash_neardup": simhash_query,
     }
