@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from quotemill.llm import chat, decontaminate, quality_rules
 from quotemill.llm.langid import langid_query
 from quotemill.llm.packing import packing_query
+from quotemill.llm.quality_classifier import quality_query
 from quotemill.llm.simhash import simhash_query
 from quotemill.llm.suffix_dedup import suffix_dedup_query
 from quotemill.llm.token_binary import token_files_query
@@ -13,6 +15,10 @@ from quotemill.llm.toxicity import toxicity_query
 def queries() -> dict:
     return {
         "op1_lexicon_toxicity": toxicity_query,
+        "op2_typed_chat": chat.chat_query,
+        "op3_line_quality": quality_rules.line_quality_query,
+        "op4_spaced_seeds": decontaminate.decontamination_query,
+        "op5_cotrained_quality": quality_query,
         "op6_runindex_dedup": suffix_dedup_query,
         "op7_hilbert_packing": packing_query,
         "op8_mixture_langid": langid_query,
@@ -22,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_typed_chat": chat.ORACLE_SQL, "op3_line_quality": quality_rules.ORACLE_SQL, "op4_spaced_seeds": decontaminate.ORACLE_SQL}
