@@ -27,7 +27,7 @@ def detect(items: DataFrame) -> DataFrame:
 
 def numbered(concepts: DataFrame, cap: int | None = None) -> DataFrame:
     """Concepts with their sequence in the document and ids; no more than ``cap`` of a document if it is given."""
-    order = Window.partitionBy("process_id", "document_id").orderBy("detector", "pos")
+    order = Window.partitionBy("process_id", "document_id").orderBy("detector", "pos", "kind", "description")
     out = concepts.withColumn("sequence", F.row_number().over(order))
     out = out if cap is None else out.where(F.col("sequence") <= cap)
     return out.withColumn("concept_id", F.format_string("cae://%s/concept-%04d", "document_id", "sequence"))

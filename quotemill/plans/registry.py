@@ -130,7 +130,7 @@ def pipe_tables(spark, d):
 # Concepts
 
 
-@query("WITH " + _DETECT + " SELECT document_id, kind, description, pos, row_number() OVER (PARTITION BY process_id, document_id ORDER BY detector, pos) AS sequence FROM concepts")
+@query("WITH " + _DETECT + " SELECT document_id, kind, description, pos, row_number() OVER (PARTITION BY process_id, document_id ORDER BY detector, pos, kind, description) AS sequence FROM concepts")
 def concept_extract(spark, d):
     return co.numbered(_concepts(spark, d)).select("document_id", "kind", "description", "pos", "sequence")
 
