@@ -10,6 +10,7 @@ from quotemill.operators import analysis as an
 from quotemill.operators import concepts as co
 from quotemill.operators import opslog as ops
 from quotemill.operators import tables as tb
+from quotemill.session import ship
 from quotemill.sources import quotations as src
 
 _QUERIES: dict = {}
@@ -92,6 +93,7 @@ def clean_text(spark, d):
 
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(strip_accents(lower(trim(text, chr(10) || chr(9) || chr(13) || ' '))), '[^\\p{L}\\p{N}_\\s./-]', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def normalize_text_any(spark, d):
+    ship(spark)  # the Python workers import the function by name
     return src.table(spark, d, "documents").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
 
 
