@@ -112,6 +112,13 @@ def sniff_format(content_type: Column, file_name: Column) -> Column:
 
 
 def decode_data_url(c: Column) -> Column:
-    """Bytes of a data URL (base64 or percent-encoded), else of base64, else the text's own."""
-    head, body = F.substring_index(c, ",", 1), F.substr(c, F.length(F.substring_index(c, ",", 1)) + 2)
-    return F.when(c.startswith("data:") & F.contains(head, F.lit(";base64")), F.try_to_binary(body, F.lit("base64"))).when(c.startswith("data:"), F.encode(F.try_url_decode(body), "UTF-8")).otherwise(F.coalesce(F.try_to_binary(c, F.lit("base64")), F.encode(c, "UTF-8")))
+    """Bytes of a data URL (base64 or percent-encoded), else of base64, else the text's own; null where a data URL's base64 is bad."""
+    head = F.substring_index(c, ",", 1)
+    body = F.substr(c, F.length(head) + 2)
+    percent = F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))  # a plus sign is no blank in a data URL
+    return F.when(c.startswith("data:") & F.contains(F.lower(head), F.lit(";base64")), F.try_to_binary(body, F.lit("base64"))).when(c.startswith("data:"), F.encode(F.coalesce(percent, body), "UTF-8")).otherwise(F.coalesce(F.try_to_binary(c, F.lit("base64")), F.encode(c, "UTF-8")))
+
+
+def decode_text(content: Column) -> Column:
+    """Text of bytes: UTF-8, else Latin-1."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.session import cut
+
 #: Categories by error code, and by words of the description in the order in which they are tried.
 ERROR_CODES = {"structural_validation_failed": "validation", "required_field_missing": "validation", "invalid_field_type": "validation", "contract_version_unsupported": "validation", "process_not_found": "system_internal", "operation_not_executed": "processing", "api_not_initialized": "communication", "coordinator_required": "communication", "pio_orchestration_required": "communication"}
 ERROR_WORDS = (("documental", "document|documento|evidencia"), ("temporary", "timeout|temporal|temporary|retry"), ("communication", "comunic|communication|connection|conexion"), ("validation", "valid|contract|campo|field"), ("permanent", "permanent|irrecuperable"), ("processing", "procesa|processing|pipeline"))
@@ -69,11 +71,6 @@ def illegal_transitions(events: DataFrame, key: str, flow: list[str]) -> DataFra
     return steps.where("to_step <> from_step + 1")
 
 
-def fifo_positions(queue: DataFrame) -> DataFrame:
-    """Place of each pending item in its lane, first in first out."""
-    return queue.withColumn("position", F.row_number().over(Window.partitionBy("lane").orderBy("ts", "event_id")))
-
-
 def active_duplicates(queue: DataFrame, key: str) -> DataFrame:
     """Items to refuse: their process has an earlier one."""
     return queue.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))).where("_n > 1").drop("_n")
@@ -84,5 +81,70 @@ def running_usage(events: DataFrame, key: str, amount: Column) -> DataFrame:
     return events.withColumn("usage", F.sum(amount).over(order))
 
 
+def fifo_positions(queue: DataFrame, lane: str, order: list[str]) -> DataFrame:
+    """Place of each pending item in its lane, first in first out, where one lane may hold most items.
+
+    Rows are range-sorted by lane and order over all tasks; a task's places start after the counts of
+    the tasks before it, of which there is one row for each lane and task.
+    """
+    # Written once, so that both readers below see the same tasks.
+    ranged = cut(queue.repartitionByRange(lane, *order).withColumn("_task", F.spark_partition_id()))
+    before = Window.partitionBy(lane).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(lane, "_task").agg(F.count("*").alias("_n"))
+    starts = counts.select(F.col(lane).alias("_lane"), F.col("_task").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(lane, "_task").orderBy(*order)
+    placed = ranged.withColumn("_own", F.row_number().over(own))
+    return placed.join(starts, (F.col(lane) == F.col("_lane")) & (F.col("_task") == F.col("_of"))).withColumn("position", F.col("_start") + F.col("_own")).drop("_lane", "_task", "_of", "_start", "_own")
+
+
+#: Retries of a recoverable failure, depth of a congested queue, keys that may be null, operations that may repeat.
+MAX_RETRIES, CONGESTED = 3, 100
+NULLABLE = ("controlled_error", "analysis_result", "comparative_tables", "traceability")
+REPEATABLE = ("query_analysis_status", "query_analysis_result")
+#: Phases of each operation, in order.
+FLOWS = {
+    "start_analysis": ("solicitud_recibida", "validacion_iniciada", "solicitud_aceptada", "procesamiento_iniciado", "invocacion_motor_preparada", "procesamiento_en_ejecucion", "resultado_generado", "resultado_entregado", "proceso_finalizado"),
+    "query_status": ("solicitud_recibida", "validacion_iniciada", "solicitud_aceptada", "resultado_entregado", "proceso_finalizado"),
+    "query_result": ("solicitud_recibida", "validacion_iniciada", "solicitud_aceptada", "resultado_generado", "resultado_entregado", "proceso_finalizado"),
+    "validate_request": ("solicitud_recibida", "validacion_iniciada", "solicitud_aceptada", "proceso_finalizado"),
+    "cancel_analysis": ("solicitud_recibida", "error_controlado", "proceso_finalizado"),
+}
+
+
+def recovery(category: Column, attempt: Column) -> Column:
+    """RETRY while a recoverable failure has retries left, then CANCEL; other failures are final."""
+    recoverable = category.isin(*RECOVERABLE)
+    return F.when(recoverable & (attempt <= MAX_RETRIES), "retry").when(recoverable, "cancel").otherwise("terminal_failure")
+
+
+def next_phase(operation: Column, phase: Column) -> Column:
+    """The phase after ``phase``; the first one after null; null after the last one and for unknown ones."""
+    out = F.lit(None).cast("string")
+    for name, flow in FLOWS.items():
+        steps = F.create_map(*[F.lit(x) for pair in zip(flow, flow[1:], strict=False) for x in pair])
+        out = F.when(operation == name, F.when(phase.isNull(), flow[0]).otherwise(steps[phase])).otherwise(out)
+    return out
+
+
+def valid_phase(operation: Column, before: Column, after: Column) -> Column:
+    """Whether a change of phase is in order; a controlled error always is."""
+    return (after == "error_controlado") | F.coalesce(next_phase(operation, before) == after, F.lit(False))
+
+
+def queue_hints(depth: Column, pending: Column, active: Column, workers: int) -> Column:
+    return F.filter(F.array(F.when(depth >= CONGESTED, "congested"), F.when((active >= workers) & (pending > 0), "workers_busy")), lambda x: x.isNotNull())
+
+
+def audit(requests: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
+    """Issues of requests (process_id, operation and ``fields``): an empty payload, null fields, a repeated operation."""
+    empty = F.lit(True)
+    for f in fields:
+        empty = empty & F.col(f).isNull()
+    again = F.row_number().over(Window.partitionBy("process_id", "operation").orderBy(*order)) > 1
+    nulls = [F.when(F.col(f).isNull() & ~empty, F.lit(f"invalid_structure:{f}")) for f in fields if f not in NULLABLE]
+    issues = F.array(F.when(empty, "incomplete_message"), F.when(again & ~F.col("operation").isin(*REPEATABLE), "duplicate_message"), *nulls)
+    return requests.withColumn("issues", F.filter(issues, lambda x: x.isNotNull()))
+
+
 def capacity_mode(concurrent: Column, most: int) -> Column:
     return F.when(concurrent >= most, "horizontal_prepared").when(concurrent >= max(1, most // 2), "vertical_prepared").otherwise("single_node")

@@ -27,11 +27,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _register() -> None:
+    from quotemill.plans import documents, models, operations  # noqa: F401  they add their queries to this module's
+
+
 def queries() -> dict:
+    _register()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(_SQL)
 
 
@@ -462,7 +468,7 @@ def illegal_transitions_lag(spark, d):
 
 @query("SELECT event_id, event_type AS lane, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events")
 def fifo_position(spark, d):
-    return ops.fifo_positions(src.table(spark, d, "events").withColumn("lane", F.col("event_type"))).select("event_id", "lane", "position")
+    return ops.fifo_positions(src.table(spark, d, "events").select("event_id", F.col("event_type").alias("lane"), "ts"), "lane", ["ts", "event_id"]).select("event_id", "lane", "position")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1")

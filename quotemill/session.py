@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -44,3 +44,12 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(PACKAGE.parent))
     sc.addPyFile(str(target))
     sc._quotemill_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; one is set only where none is."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='quotemill-checkpoint-')}")
+    return df.checkpoint()
