@@ -7,11 +7,12 @@ have the same one. The windows that share an occurrence of a minimiser form a st
 
 1. Stretches equal as a whole are settled by hash: all but the earliest go. Each task does so for
    its own before the shuffle, so copies and popular passages don't pile up at a minimiser.
+   Minimisers that hold a large share of all stretches are dealt to several tasks.
 2. Stretches that share a minimiser and differ are fetched from the texts. For each batch of such
    groups a run-length Burrows-Wheeler index is built and matching statistics are streamed from it;
    windows with a match of WIDTH bytes or more are held against the earliest equal one.
-3. Groups too large for a batch are dealt to several by salt; the windows that their indexes leave
-   are settled by the hash of the window.
+3. Groups too large for a batch are cut into several as they are streamed; the windows that their
+   indexes leave are settled by the hash of the window.
 
 Defined cases: null is the empty text; texts under WIDTH bytes lose nothing; rows that share a
 doc_id, or have none, are documents of their own, ordered by doc_id (null first), then text; an
@@ -34,12 +35,14 @@ from quotemill.llm.token_binary import _partition
 
 WIDTH = 100
 SEED = 32
-#: Stretches of a minimiser in one batch at most; larger groups are salted.
+#: Stretches of a minimiser in one batch at most; larger groups are cut.
 GROUP = 4000
 #: Bytes of stretches in an index, at least, but for a task's last one.
 BATCH_BYTES = 1 << 20
 #: Stretches held in a task until their first ones are passed on.
 HELD = 1 << 20
+#: One stretch in so many is looked at for crowded minimisers, of which there are so many at most.
+SAMPLED, SHARES = 16, 20_000
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -156,40 +159,60 @@ def _scan(width: int, seed: int):
     return run
 
 
-def _match(batches):
-    """Streams stretches sorted by (a, b, ord, start): marks the repeated ones; passes on the first ones of minimisers that have several."""
-    seen, alone = None, None  # the last (a, b); the only stretch so far of minimiser a
-    for batch in batches:
-        a, b, ord_, start, end = (batch.column(i).to_numpy() for i in range(5))
-        if not len(a):
-            continue
-        fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        if seen == (a[0], b[0]):
-            fresh[0] = False
-        again = ~fresh
-        if again.any():
-            yield _rows(_MARK, None, None, ord_[again], start[again], end[again])
-        fa, fb, fo, fs, fe = (x[fresh] for x in (a, b, ord_, start, end))
-        carried = alone is not None and alone is not ...
-        if carried:
-            fa, fb, fo, fs, fe = (np.concatenate([[x], y]) for x, y in zip(alone, (fa, fb, fo, fs, fe), strict=True))
-        several = np.zeros(len(fa), bool)
-        several[1:] = fa[1:] == fa[:-1]
-        several[:-1] |= several[1:]
-        if alone is ... and seen is not None:
-            several |= fa == seen[0]
-        last = len(fa) and fa[-1] == a[-1]
-        hold = bool(last) and not several[-1]
-        out = several
-        if out.any():
-            yield _rows(_STRETCH, fa[out], None, fo[out], fs[out], fe[out])
-        seen_now = (a[-1], b[-1])
-        if hold:
-            alone = (fa[-1], fb[-1], fo[-1], fs[-1], fe[-1])
-        elif last or (alone is ... and seen is not None and seen[0] == a[-1]):
-            alone = ...
-        seen = seen_now
+def _match(group: int):
+    """Streams stretches (a, b, ord, start, end, deal) sorted by (a, b, ord, start): marks the repeated ones, passes on
+    the first ones of minimisers that have several, or that are dealt to several tasks. A minimiser's rows go on
+    with b = -1, or, beyond ``group`` of them or dealt, with the number of the batch they are for."""
+
+    def passed(cols, rank, size):
+        a, ord_, start, end, deal = cols
+        salted = (size > group) | (deal >= 0)
+        out = salted | (size > 1)
+        salt = np.where(salted, (deal + 1 << 32) + rank // group, -1)
+        return _rows(_STRETCH, *(x[out] for x in (a, salt, ord_, start, end)))
+
+    def run(batches):
+        seen, held, done = None, None, 0  # last (a, b); first stretches of that a not yet passed on, or how many were
+        for batch in batches:
+            a, b, ord_, start, end, deal = (batch.column(i).to_numpy() for i in range(6))
+            if not len(a):
+                continue
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            fresh[0] = seen != (a[0], b[0])
+            if not fresh.all():
+                yield _rows(_MARK, None, None, ord_[~fresh], start[~fresh], end[~fresh])
+            now = [x[fresh] for x in (a, ord_, start, end, deal)]
+            if held is not None:
+                now = [np.concatenate(pair) for pair in zip(held, now, strict=True)]
+            before, seen = seen, (a[-1], b[-1])
+            if not len(now[0]):
+                continue
+            heads = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1])
+            n = np.diff(np.append(heads, len(now[0])))
+            rank = np.arange(len(now[0])) - np.repeat(heads, n)
+            sizes = n.copy()
+            if done and before[0] == now[0][0]:
+                sizes[0] += done
+                rank[: n[0]] += done
+            # The last minimiser may go on in the next batch.
+            cut, done, held = len(rank), int(sizes[-1]), None
+            if done <= group:
+                cut, done, held = heads[-1], 0, [x[heads[-1] :] for x in now]
+            if cut:
+                yield passed([x[:cut] for x in now], rank[:cut], np.repeat(sizes, n)[:cut])
+        if held is not None:
+            yield passed(held, np.arange(len(held[0])), np.full(len(held[0]), len(held[0])))
+
+    return run
+
+
+def _deals(stretch: DataFrame, group: int) -> DataFrame:
+    """(a, deals): minimisers that take up more than a ``1 / SHARES`` of a hashed sample, so ``SHARES`` rows at most,
+    and the number of tasks to deal them to. The sample decides on nothing but the dealing."""
+    part = stretch.where(F.pmod(F.xxhash64("a", "ord", "start"), F.lit(SAMPLED)) == 0)
+    least = max(group // SAMPLED, part.count() // SHARES)
+    return part.groupBy("a").count().where(F.col("count") > least).select("a", (F.ceil(F.col("count") * SAMPLED / group) + 1).cast("long").alias("deals"))
 
 
 def _fetch(batches):
@@ -198,7 +221,7 @@ def _fetch(batches):
         out = []
         for r in b.to_pylist():
             raw = (r["text"] or "").encode("utf-8", "replace")
-            out.extend((s["a"], r["ord"], s["start"], raw[s["start"] : s["end"]]) for s in r["parts"])
+            out.extend((s["a"], s["b"], r["ord"], s["start"], s["b"] >= 0, raw[s["start"] : s["end"]]) for s in r["parts"])
             if len(out) >= 20_000:
                 yield _fetched(out)
                 out = []
@@ -207,8 +230,8 @@ def _fetch(batches):
 
 
 def _fetched(rows) -> pa.RecordBatch:
-    a, o, s, d = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.binary())], ["a", "ord", "start", "data"])
+    kinds = {"a": pa.int64(), "salt": pa.int64(), "ord": pa.int64(), "start": pa.int64(), "salted": pa.bool_(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
 def _index(width: int, size: int = BATCH_BYTES):
@@ -276,16 +299,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, group:
     """(ord, start, end): byte spans to remove from ``docs`` (ord, text); spans may overlap."""
     spark = docs.sparkSession
     one, _ = common.materialize(docs.select("ord", "text").mapInArrow(_scan(width, seed), _SCHEMA), "stretches")
-    dealt = one.where(F.col("kind") == _STRETCH).select("a", "b", "ord", "start", "end").repartition("a").sortWithinPartitions("a", "b", "ord", "start")
-    two, _ = common.materialize(dealt.mapInArrow(_match, _SCHEMA), "shared-minimisers")
+    stretch = one.where(F.col("kind") == _STRETCH).select("a", "b", "ord", "start", "end")
+    deal = F.coalesce(F.pmod(F.xxhash64("b"), F.col("deals")), F.lit(-1)).alias("deal")
+    marked = stretch.join(F.broadcast(_deals(stretch, group)), "a", "left").select("a", "b", "ord", "start", "end", deal)
+    dealt = marked.repartition("a", "deal").sortWithinPartitions("a", "b", "ord", "start")
+    two, _ = common.materialize(dealt.mapInArrow(_match(group), _SCHEMA), "shared-minimisers")
     marks = one.where(F.col("kind") == _MARK).unionByName(two.where(F.col("kind") == _MARK))
     marks, at = common.materialize(marks, "marks")
     shared = two.where(F.col("kind") == _STRETCH)
-    parts = shared.groupBy("ord").agg(F.collect_list(F.struct("a", "start", "end")).alias("parts"))
-    data = docs.select("ord", "text").join(parts, "ord").mapInArrow(_fetch, "a long, ord long, start long, data binary")
-    sizes = shared.groupBy("a").count().where(F.col("count") > group).select("a", F.ceil(F.col("count") / group).cast("int").alias("salts"))
-    salted = data.join(sizes, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("ord", "start"), F.col("salts")), F.lit(0)).alias("salt"), "ord", "start", F.col("salts").isNotNull().alias("salted"), "data")
-    three, _ = common.materialize(salted.repartition("a", "salt").sortWithinPartitions("a", "salt", "ord", "start").mapInArrow(_index(width), _SCHEMA), "index-marks")
+    parts = shared.groupBy("ord").agg(F.collect_list(F.struct("a", "b", "start", "end")).alias("parts"))
+    data = docs.select("ord", "text").join(parts, "ord").mapInArrow(_fetch, "a long, salt long, ord long, start long, salted boolean, data binary")
+    three, _ = common.materialize(data.repartition("a", "salt").sortWithinPartitions("a", "salt", "ord", "start").mapInArrow(_index(width), _SCHEMA), "index-marks")
     earliest = Window.partitionBy("a", "b").orderBy("ord", "start")
     late = three.where(F.col("kind") == _WINDOW).withColumn("n", F.row_number().over(earliest)).where("n > 1")
     spans = ["ord", "start", "end"]
