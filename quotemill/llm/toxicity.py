@@ -120,21 +120,23 @@ class Scorer:
         self.known: set[str] = set()
         self.hits: dict[str, tuple[float, int]] = {}
 
-    def _learn(self, words) -> None:
+    def _learn(self, words: set[str], fresh: set[str]) -> None:
+        """Look up the ``fresh`` ones of a text's words; after a reset, all of them."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.hits = set(), {}
             self.automaton = LexiconAutomaton(self.automaton.weights)
-        for raw in words:
+            fresh = words
+        for raw in fresh:
             word = raw.strip(_STRIP)
             if len(word) >= LETTERS - 1 and (found := self.automaton.match(word)):
                 self.hits[raw] = found
-        self.known.update(words)
+        self.known.update(fresh)
 
     def features(self, text: str | None) -> list[float]:
         words = (text or "").lower().split()
         distinct = set(words)
         if fresh := distinct - self.known:
-            self._learn(fresh)
+            self._learn(distinct, fresh)
         mine = {w: self.hits[w] for w in distinct if w in self.hits} if self.hits else {}
         if not mine:
             return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]

@@ -201,6 +201,15 @@ def test_quotation_scores_below_abuse():
     assert np.dot(w, s.features("you are an idiot my friend")) > np.dot(w, s.features('she said "idiot" is a rude word'))
 
 
+def test_scores_do_not_depend_on_the_word_cache(monkeypatch):
+    texts = ["you are an idiot", "some clean words here", "you idiot again", "more of it", "an idiot said you", "idiot"] * 2
+    alone = [toxicity.Scorer({"idiot": 3.0}).features(t) for t in texts]
+    for size in range(12):
+        monkeypatch.setattr(toxicity, "KNOWN_WORDS", size)
+        s = toxicity.Scorer({"idiot": 3.0})
+        assert [s.features(t) for t in texts] == alone
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = langid.langid_query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
