@@ -278,21 +278,25 @@ def _index(width: int, size: int = BATCH_BYTES):
     return run
 
 
+def _typed(docs: DataFrame, names: tuple[str, ...]) -> str:
+    return "".join(f", {n} {docs.schema[n].dataType.simpleString()}" for n in names)
+
+
 def _number(batches):
     at = _partition() << 40
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(b.num_rows), pa.int64()), b.column(0), b.column(1)], ["ord", "doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(b.num_rows), pa.int64()), *b.columns], ["ord", *b.schema.names])
         at += b.num_rows
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(ord, doc_id, text) where ord is distinct and ordered as the documents are."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def numbered(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, doc_id, text, others) where ord is distinct and ordered as the documents are."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
     state = texts.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
     if state.known == state.n and not texts.groupBy("doc_id").count().where("count > 1").limit(1).collect():
-        return texts.select(F.col("doc_id").alias("ord"), "doc_id", "text")
-    ordered = texts.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return common.materialize(ordered.mapInArrow(_number, "ord long, doc_id long, text string"), "numbered")[0]
+        return texts.select(F.col("doc_id").alias("ord"), "*")
+    ordered = texts.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text", *others)
+    return common.materialize(ordered.mapInArrow(_number, "ord long, doc_id long, text string" + _typed(docs, others)), "numbered")[0]
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
@@ -344,18 +348,18 @@ def _cut(with_text: bool):
             if out:
                 kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), *b.columns[3:]], names + b.schema.names[3:])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text); with the text that is kept if asked for."""
-    ready = numbered(docs)
+def remove_repeats(docs: DataFrame, with_text: bool = False, width: int = WIDTH, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text); with the text that is kept if asked for, and the row's ``others``."""
+    ready = numbered(docs, others)
     spans = repeated_spans(ready, width)
     gone = spans.distinct().groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return ready.join(gone, "ord", "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text + _typed(docs, others)
+    return ready.join(gone, "ord", "left").select("doc_id", "text", "spans", *others).mapInArrow(_cut(with_text), schema)
 
 
 def suffix_dedup_query(spark, sf_dir: str) -> DataFrame:

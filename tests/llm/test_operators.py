@@ -259,3 +259,27 @@ def test_pipeline_stages_keep_clean_documents(spark):
     gone = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - gone
     assert p.repeated_strings(spark, docs, sf).count() == docs.count()
+
+
+def test_repeated_strings_keeps_the_first_of_rows_that_share_an_id(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    part = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    x, y = part(300), part(250)
+    # Rows of one id: equal texts, equal lengths and differing texts; null ids; a row that loses nothing.
+    rows = [(7, x, "de", "s", 300), (7, x, "en", "s", None), (7, x, "en", "t", 300), (8, part(50) + x[:200], "en", "s", 250), (8, y[:200] + part(50), "en", "s", 250), (8, y, "en", "s", 250), (None, part(40) + y[50:200], "en", "s", 190), (None, y[60:220], None, None, 160), (9, part(400), "en", "s", 1)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or "", r[3] or "", r[4] or 0))
+    seen, want = set(), []
+    for doc_id, text, lang, source, n_chars in order:
+        stay = [True] * len(text)
+        for i in range(len(text) - suffix_dedup.WIDTH + 1):
+            if (w := text[i : i + suffix_dedup.WIDTH]) in seen:
+                stay[i : i + suffix_dedup.WIDTH] = [False] * suffix_dedup.WIDTH
+            seen.add(w)
+        kept = "".join(c for c, s in zip(text, stay, strict=True) if s)
+        want.append((doc_id, kept, lang, source, n_chars if all(stay) else len(kept)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.repeated_strings(spark, docs.repartition(3), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sum(r.text == x for r in got) == 1
