@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontaminate, langid, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_binary, toxicity
+from quotemill.llm import chat, decontaminate, langid, near_copies, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_binary, toxicity
 from quotemill.llm.runindex import RunIndex
 from quotemill.llm.tokenizing import encoder, vocabulary_path
 from quotemill.session import ship
@@ -283,3 +283,58 @@ def test_repeated_strings_keeps_the_first_of_rows_that_share_an_id(spark):
     got = p.repeated_strings(spark, docs.repartition(3), "").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert sum(r.text == x for r in got) == 1
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_near_copies_equal_brute_force(spark, block):
+    ship(spark)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage, texts = [word() for _ in range(40)], [None, "", " \n", "one two", "One  two", "one"]
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(6, 200))]
+        for _ in range(rng.randint(1, 5)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 30))):
+                copy[at] = word()
+            texts.append(" ".join(copy + (passage if rng.random() < 0.2 else [])))
+    texts += [" ".join([*passage, word(), word()]) for _ in range(12)]
+    rows = [(k if k % 9 else None, t) for k, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in links:
+        up[find(i)] = find(j)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(k)] = min(doc_id, least.get(find(k), doc_id))
+    want = sorted((str(doc_id), str(least.get(find(k)))) for k, (doc_id, _) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in near_copies.near_copies(docs, block).collect()) == want
+    assert near_copies.near_copies(docs.where("false")).count() == 0
+
+
+def test_pipeline_takes_near_copies_more_than_three_bits_apart(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(152)]
+    docs = []
+    for k in range(20):
+        copy = list(words)
+        copy[7 * k] = "other"
+        docs.append((k, " ".join(copy), "en", "s", 1))
+    apart = {bin(simhash.fingerprint(t) ^ simhash.fingerprint(docs[0][1])).count("1") for _, t, *_ in docs}
+    assert max(apart) > simhash.DISTANCE
+    near = p.near_duplicate(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert [r.doc_id for r in near.collect()] == [0]
