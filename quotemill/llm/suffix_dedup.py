@@ -120,7 +120,8 @@ def _rows(kind: int, a, b, ord_, start, end) -> pa.RecordBatch:
 
 def _firsts(group: np.ndarray, ord_: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether a row is the earliest of its group."""
-    by = np.lexsort((start, ord_)) if (np.diff(ord_) < 0).any() else np.arange(len(ord_))
+    step = np.diff(ord_)
+    by = np.lexsort((start, ord_)) if ((step < 0) | (step == 0) & (np.diff(start) < 0)).any() else np.arange(len(ord_))
     first = np.zeros(len(group), bool)
     codes = pd.factorize(group[by])[0]
     where = np.full(codes.max(initial=-1) + 1, -1, np.int64)

@@ -150,6 +150,21 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, group):
     assert got == dict(enumerate(brute_repeats(texts, suffix_dedup.WIDTH)))
 
 
+def test_suffix_dedup_of_one_document_with_a_crowded_phrase(spark, monkeypatch):
+    group = 16
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (suffix_dedup.WIDTH, suffix_dedup.SEED, group))
+    ship(spark)
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    phrase, sides = part(40), [part(90) for _ in range(12)]
+    text = "".join(x for _ in range(400) for x in (rng.choice(sides)[rng.randint(0, 30) :], phrase, rng.choice(sides)[: rng.randint(50, 90)], part(rng.randint(0, 9))))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = suffix_dedup.remove_repeats(docs).first()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)] == brute_repeats([text], suffix_dedup.WIDTH)
+    group_, ord_, start = np.array([1, 1, 2, 1]), np.zeros(4, np.int64), np.array([9, 4, 5, 6])
+    assert suffix_dedup._firsts(group_, ord_, start).tolist() == [False, True, True, False]
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_linked_fingerprints_equal_brute_force(spark, block):
     ship(spark)
