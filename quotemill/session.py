@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -46,10 +48,27 @@ def ship(spark: SparkSession) -> None:
     sc._quotemill_shipped = True
 
 
+_own: dict[str, str] = {}
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it isn't set, a local session gets a folder
+    of its own for the application; on a cluster, whose machines don't share one, that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="quotemill-checkpoint-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+    return f"file://{_own[sc.applicationId]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; one is set only where none is."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='quotemill-checkpoint-')}")
+    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
