@@ -1,72 +1,18 @@
-"""What the operators of this subpackage share: intermediate tables, keys and splits."""
+"""What the operators of this subpackage share: keys, splits and joins of hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.session import ship
+from quotemill.store import materialize, new_path, release, scratch, shared_folder, write  # noqa: F401  the operators write by these
 
 #: White space that separates words: the code points 20 and 09 to 0D (hexadecimal).
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-
-#: Shuffle files of a finished query go at once instead of when the driver collects its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one is set only where none is."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='quotemill-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    at = f"{shared_folder(spark)}/quotemill-llm/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, at))
-    return at
-
-
-def write(df: DataFrame, path: str, codec: str = "zstd") -> None:
-    spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", codec).mode("overwrite").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back; a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    write(df, path, codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def release(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that nothing reads any more."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):
-            if spark._sc._jsc is not None:
-                release(spark, path)
+#: Keys that hold over one in so many of all rows, of which there are so many at most, are joined by broadcast.
+SHARES = 20_000
 
 
 def fold(column: Column, folds: int) -> Column:
@@ -87,3 +33,15 @@ def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+
+
+def join_crowded(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has every key of theirs once and in ``_rows`` how many rows have it.
+
+    A key of many rows would put them all in one task, so crowded keys are joined by broadcast.
+    """
+    least = F.lit((keyed.agg(F.sum("_rows").alias("n")).first().n or 0) // SHARES)
+    hot = keyed.where(F.col("_rows") > least).drop("_rows")
+    cold = keyed.where(F.col("_rows") <= least).drop("_rows")
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))

@@ -6,8 +6,12 @@ stand in a separate control stream, two bits a rank, four ranks to a control byt
 control bytes up in a numpy table. Blocks are rows of a Parquet table that Spark writes, so a lost
 executor leaves no half-written file; ``blocks_to_bytes`` has a block's layout.
 
+A block is closed at ``BLOCK_IDS`` ids, texts are encoded a few MB at a time and blocks are taken one
+by one from what a task reads, so a task's memory follows neither its share of rows nor Arrow's
+batches; a document of more ids than a block has is a block of its own.
+
 Defined cases: a null or empty text has the end id only; rows that share a doc_id are in the order
-of their texts, null first; null doc_ids come first; an empty table gives empty files.
+of their texts' hashes, null first; null doc_ids come first; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
-from quotemill.llm.tokenizing import encoder, vocabulary_path
+from quotemill.llm.tokenizing import encoder, sliced, vocabulary_path
 
 MAGIC = b"QMTB"
-#: Ids in a block, at least, but for a shard's last block.
-BLOCK_IDS = 1_000_000
+#: Ids in a block, at most, but for a longer document's.
+BLOCK_IDS = 1 << 18
 #: Blocks whose places may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_BLOCKS = 200_000
 _SIZES = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -61,7 +65,8 @@ def block_to_bytes(doc_ids: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, ra
     return b"".join([MAGIC, struct.pack("<QQQ", len(doc_ids), len(ranks), len(control)), doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), sizes.astype("<u4").tobytes(), control, data])
 
 
-def bytes_to_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bytes_to_block(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    block = memoryview(block)
     if block[:4] != MAGIC:
         raise ValueError("not a block of token ids")
     docs, n, c = struct.unpack_from("<QQQ", block, 4)
@@ -79,8 +84,11 @@ def _partition() -> int:
     return TaskContext.get().partitionId()
 
 
+_IDS = "shard int, block int, docs binary, nulls binary, sizes binary, ids binary, wide boolean"
+
+
 def _tokenized(vocabulary: str, end_id: int):
-    """Arrow batches of (doc_id, text) to rows of whole documents' ids, at least BLOCK_IDS a row."""
+    """Arrow batches of (doc_id, text) to rows of whole documents' ids, BLOCK_IDS a row at most."""
 
     def run(batches):
         encode, shard, block = encoder(vocabulary), _partition(), 0
@@ -88,39 +96,57 @@ def _tokenized(vocabulary: str, end_id: int):
 
         def row():
             d, u, s, i = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "docs": pa.array([d.astype("<i8").tobytes()], pa.binary()), "nulls": pa.array([u.astype(np.uint8).tobytes()], pa.binary()), "sizes": pa.array([s.astype("<u4").tobytes()], pa.binary()), "ids": pa.array([i.astype("<u4").tobytes() if len(i) and i.max() > 0xFFFF else i.astype("<u2").tobytes()], pa.binary()), "wide": pa.array([bool(len(i) and i.max() > 0xFFFF)])})
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, sizes = encode(b.column(1).to_pylist())
-            out = np.full(len(ids) + len(sizes), end_id, np.uint32)
-            keep = np.ones(len(out), bool)
-            keep[np.cumsum(sizes + 1) - 1] = False
-            out[keep] = ids
-            held.append((b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(0).is_null().to_numpy(zero_copy_only=False), sizes + 1, out))
-            n += len(out)
-            if n >= BLOCK_IDS:
-                yield row()
-                held, n, block = [], 0, block + 1
+            wide = bool(i.max() > 0xFFFF)
+            blobs = [d.astype("<i8"), u.astype(np.uint8), s.astype("<u4"), i.astype("<u4" if wide else "<u2")]
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([wide])], ["shard", "block", "docs", "nulls", "sizes", "ids", "wide"])
+
+        for batch in batches:
+            for b in sliced(batch):
+                ids, sizes = encode(b.column(1).to_pylist())
+                sizes = sizes + 1
+                ends = np.cumsum(sizes)
+                out = np.full(int(ends[-1]), end_id, np.uint32)
+                keep = np.ones(len(out), bool)
+                keep[ends - 1] = False
+                out[keep] = ids
+                doc_ids, nulls = b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False)
+                lo, base = 0, 0
+                while lo < len(sizes):
+                    hi = int(np.searchsorted(ends, base + BLOCK_IDS - n, "right"))
+                    if hi > lo or not n:
+                        hi = max(hi, lo + 1)
+                        held.append((doc_ids[lo:hi], nulls[lo:hi], sizes[lo:hi], out[base : ends[hi - 1]]))
+                        n += int(ends[hi - 1]) - base
+                        lo, base = hi, int(ends[hi - 1])
+                    if lo < len(sizes):
+                        yield row()
+                        held, n, block = [], 0, block + 1
+                held = [tuple(x.copy() for x in h) for h in held]  # no views of what is large
         if held:
             yield row()
 
     return run
 
 
-def _ids(row: dict) -> np.ndarray:
-    return np.frombuffer(row["ids"], "<u4" if row["wide"] else "<u2")
+def _each(batches, *names: str):
+    """The rows of record batches one by one; binary values as buffers."""
+    for b in batches:
+        cols = [b.column(n) for n in names]
+        for k in range(b.num_rows):
+            yield [c[k].as_buffer() if pa.types.is_binary(c.type) else c[k].as_py() for c in cols]
+
+
+def _ids(ids, wide: bool) -> np.ndarray:
+    return np.frombuffer(ids, "<u4" if wide else "<u2")
 
 
 def _count(batches):
     total = np.zeros(0, np.int64)
-    for b in batches:
-        for row in b.to_pylist():
-            n = np.bincount(_ids(row))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n
+    for ids, wide in _each(batches, "ids", "wide"):
+        n = np.bincount(_ids(ids, wide))
+        if len(n) > len(total):
+            total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+        total[: len(n)] += n
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
@@ -128,8 +154,10 @@ def _count(batches):
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Write ``docs`` (doc_id, text) to ``path``: blocks in ``path/blocks`` and, by rank, ids in ``path/ranks``."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows, held = common.materialize(ordered.mapInArrow(_tokenized(vocabulary, end_id), "shard int, block int, docs binary, nulls binary, sizes binary, ids binary, wide boolean"), "token-ids")
+    # Rows of one id may be many, and alike: they are dealt by the hash of their text and their place.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("_hash"), F.monotonically_increasing_id().alias("_at"))
+    ordered = keyed.repartitionByRange("doc_id", "_hash", "_at").sortWithinPartitions("doc_id", "_hash", "_at").select("doc_id", "text")
+    rows, held = common.materialize(ordered.mapInArrow(_tokenized(vocabulary, end_id), _IDS), "token-ids")
     # No more rows than the vocabulary has ids.
     counts = rows.select("ids", "wide").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r.id for r in counts.orderBy(F.desc("n"), "id").collect()]
@@ -139,11 +167,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     shared = spark.sparkContext.broadcast(rank_of)
 
     def pack(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                ids = _ids(row)
-                out = block_to_bytes(np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["nulls"], np.uint8), np.frombuffer(row["sizes"], "<u4"), shared.value[ids])
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]], pa.int32()), "block": pa.array([row["block"]], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([out], pa.binary())})
+        for shard, block, docs, nulls, sizes, ids, wide in _each(batches, "shard", "block", "docs", "nulls", "sizes", "ids", "wide"):
+            ids = _ids(ids, wide)
+            out = block_to_bytes(np.frombuffer(docs, "<i8"), np.frombuffer(nulls, np.uint8), np.frombuffer(sizes, "<u4"), shared.value[ids])
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([out], pa.binary())})
 
     common.write(rows.mapInArrow(pack, "shard int, block int, n_ids long, payload binary"), f"{path}/blocks", "uncompressed")
     common.release(spark, held)
@@ -163,17 +190,16 @@ def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
         places = F.broadcast(places)
 
     def unpack(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                doc_ids, nulls, sizes, ranks = bytes_to_block(row["payload"])
-                ids = shared.value[ranks]
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                raw = memoryview(ids.tobytes())
-                out = {"doc_id": pa.array(doc_ids, pa.int64(), mask=nulls), "start": pa.array(row["first"] + starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64())}
-                if with_ids:
-                    out["ids"] = pa.array([ids[x:y].tolist() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_pydict(out)
+        for first, payload in _each(batches, "first", "payload"):
+            doc_ids, nulls, sizes, ranks = bytes_to_block(payload)
+            ids = shared.value[ranks]
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            raw = memoryview(ids).cast("B")
+            out = {"doc_id": pa.array(doc_ids, pa.int64(), mask=nulls), "start": pa.array(first + starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64())}
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return blocks.join(places, ["shard", "block"]).select("first", "payload").mapInArrow(unpack, schema)
