@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
-from quotemill.llm.token_binary import _partition
-from quotemill.llm.tokenizing import encoder, vocabulary_path
+from quotemill.llm.token_binary import _each, _partition
+from quotemill.llm.tokenizing import encoder, sliced, vocabulary_path
 
 SEQUENCE = 2048
 #: Buckets of a hashed document vector, dimensions of its projection, bits of each.
@@ -76,8 +76,7 @@ def _tokenized(vocabulary: str, end_id: int):
     def run(batches):
         encode, row = encoder(vocabulary), _partition() << 40
         for b in batches:
-            for lo in range(0, b.num_rows, _BATCH):
-                part = b.slice(lo, _BATCH)
+            for part in sliced(b):
                 ids, sizes = encode(part.column(1).to_pylist())
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
@@ -85,12 +84,18 @@ def _tokenized(vocabulary: str, end_id: int):
                 for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
                     doc = np.append(ids[x:y], np.uint32(end_id))
                     out.append(doc.astype("<u2" if doc.max() <= 0xFFFF else "<u4").tobytes())
-                yield pa.RecordBatch.from_pydict({"uid": pa.array(row + np.arange(len(out)), pa.int64()), "doc_id": part.column(0), "key": pa.array(curve_keys(ids, sizes), pa.int64()), "n": pa.array(sizes + 1, pa.int64()), "ids": pa.array(out, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"uid": pa.array(row + np.arange(len(out)), pa.int64()), "doc_id": part.column(0), "key": pa.array(_keys(ids, sizes), pa.int64()), "n": pa.array(sizes + 1, pa.int64()), "ids": pa.array(out, pa.binary())})
                 row += len(out)
 
     return run
 
 
+def _keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Curve keys, some documents at a time: an empty text costs a vector too."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return np.concatenate([curve_keys(ids[ends[lo] : ends[min(lo + _BATCH, len(sizes))]], sizes[lo : lo + _BATCH]) for lo in range(0, len(sizes), _BATCH)])
+
+
 def _placed(batches):
     shard, at = _partition(), 0
     for b in batches:
@@ -102,22 +107,29 @@ def _placed(batches):
 
 def _cut(with_ids: bool):
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, _BATCH):
-                out = []
-                for r in b.slice(lo, _BATCH).to_pylist():
-                    n, first, at = r["n"], r["first"], 0
-                    ids = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * n else "<u4").astype("<u4")
-                    raw = memoryview(ids.tobytes())
-                    while at < n:
-                        sequence, offset = divmod(first + at, SEQUENCE)
-                        size = min(n - at, SEQUENCE - offset)
-                        piece = (r["doc_id"], at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), n, sequence, offset)
-                        out.append((*piece, ids[at : at + size].tolist()) if with_ids else piece)
-                        at += size
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if k == "ids" else pa.int64()) for k, c in zip(names, zip(*out, strict=True), strict=True)], names)
+        out, n_ids = [], 0
+
+        def rows():
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            cols = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:7]]
+            if with_ids:
+                ids = [x[7] for x in out]
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))))
+            return pa.RecordBatch.from_arrays(cols, names + ["ids"] * with_ids)
+
+        for doc_id, n, first, raw in _each(batches, "doc_id", "n", "first", "ids"):
+            ids, at = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"), 0
+            while at < n:
+                sequence, offset = divmod(first + at, SEQUENCE)
+                size = min(n - at, SEQUENCE - offset)
+                piece = ids[at : at + size].astype("<u4")
+                out.append((doc_id, at, size, zlib.crc32(piece), n, sequence, offset, piece if with_ids else None))
+                at, n_ids = at + size, n_ids + size * with_ids
+                if len(out) >= _BATCH or n_ids >= 1 << 20:
+                    yield rows()
+                    out, n_ids = [], 0
+        if out:
+            yield rows()
 
     return run
 
@@ -131,7 +143,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids: bool = Fal
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range partition
     base = placed.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     first = placed.join(F.broadcast(base), "shard").select("uid", (F.col("base") + F.col("inside")).alias("first"))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return tokens.join(first, "uid").select("doc_id", "n", "first", "ids").mapInArrow(_cut(with_ids), schema)
 
 

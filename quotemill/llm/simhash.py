@@ -11,9 +11,14 @@ A bucket is searched in place: pairs are verified there, and only a spanning for
 leaves it. Buckets over ``BLOCK`` fingerprints are cut into blocks, and each pair of blocks is a
 task's work of its own, so no link is lost and no task gathers an unbounded group.
 
+In a block the fingerprints are held against each other, so a bucket costs the square of its
+distinct fingerprints at worst, spread over tasks of ``BLOCK`` by ``BLOCK``; the plan's partitions
+are chosen to keep buckets small.
+
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; texts of
 fewer words than a shingle are one shingle; exact copies share a fingerprint and so a component;
-rows without doc_id get a component too but never name one; an empty table gives no rows.
+rows without doc_id link others and get a component too but never name one, so a component without
+any doc_id is null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
-from quotemill.llm.components import components
+from quotemill.operators import graph
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 BLOCK = 4096
@@ -222,13 +227,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the least doc_id reachable) of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked, _ = common.materialize(texts.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
-    nodes, _ = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    named = nodes.where("first is not null")
-    links = linked_fingerprints(named.select("fp"), distance)
-    ends = links.join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    classes = nodes.join(roots, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("component_id"))
-    return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes, at = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_rows")), "distinct-fingerprints")
+    roots = graph.roots(linked_fingerprints(nodes.select("fp"), distance))
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "_rows", F.coalesce("root", "fp").alias("root"))
+    classes, _ = common.materialize(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", "_rows"), "components")
+    common.release(docs.sparkSession, at)
+    return common.join_crowded(marked, classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:

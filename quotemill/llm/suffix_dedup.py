@@ -5,14 +5,17 @@ doc_id, or earlier in the same one) goes. The corpus is too large for one index,
 WIDTH bytes is dealt by its minimiser, the least hash of the SEED-byte strings in it: equal windows
 have the same one. The windows that share an occurrence of a minimiser form a stretch of bytes.
 
-1. Stretches equal as a whole are settled by hash: all but the earliest go. Each task does so for
-   its own before the shuffle, so copies and popular passages don't pile up at a minimiser.
-   Minimisers that hold a large share of all stretches are dealt to several tasks.
+1. Stretches equal as a whole, by 96 bits of XXH3 beside the minimiser's own hash, are settled first:
+   all but the earliest go. Each task does so for its own before the shuffle, so copies and popular
+   passages don't pile up at a minimiser. Minimisers that hold a large share of all stretches are
+   dealt to several tasks.
 2. Stretches that share a minimiser and differ are fetched from the texts. For each batch of such
    groups a run-length Burrows-Wheeler index is built and matching statistics are streamed from it;
    windows with a match of WIDTH bytes or more are held against the earliest equal one.
 3. Groups too large for a batch are cut into several as they are streamed; the windows that their
-   indexes leave are settled by the hash of the window.
+   indexes leave are settled by 128 bits of XXH3 of the window.
+
+Long texts are scanned ``BLOCK`` windows at a time, and a stretch may end there.
 
 Defined cases: null is the empty text; texts under WIDTH bytes lose nothing; rows that share a
 doc_id, or have none, are documents of their own, ordered by doc_id (null first), then text; an
@@ -26,21 +29,26 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
 from quotemill.llm.runindex import RunIndex
-from quotemill.llm.token_binary import _partition
+from quotemill.llm.token_binary import _each, _partition
+from quotemill.llm.tokenizing import sliced
 
 WIDTH = 100
 SEED = 32
 #: Stretches of a minimiser in one batch at most; larger groups are cut.
 GROUP = 4000
 #: Bytes of stretches in an index, at least, but for a task's last one.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Stretches held in a task until their first ones are passed on.
-HELD = 1 << 20
+HELD = 1 << 19
+#: Windows of a text scanned at once; rows of windows passed on at once.
+BLOCK, SLICE = 1 << 20, 1 << 16
 #: One stretch in so many is looked at for crowded minimisers, of which there are so many at most.
 SAMPLED, SHARES = 16, 20_000
 _BASE = 0xD1342543DE82EF95
@@ -69,13 +77,25 @@ def _prefix(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(text: bytes, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, hash of the minimiser, hash of the stretch) for each stretch of ``text``."""
+def _digests(raw, first, end) -> np.ndarray:
+    """XXH3 of the strings from ``first`` to ``end``: two 64-bit numbers each."""
+    digest, view = xxhash.xxh3_128_digest, memoryview(raw)
+    return np.frombuffer(b"".join([digest(view[x:y]) for x, y in zip(first.tolist(), end.tolist(), strict=True)]), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def stretches(text, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, hash of the minimiser, two hashes of the stretch) for each stretch of the bytes ``text``."""
     raw = np.frombuffer(text, np.uint8)
+    found = [_stretches(raw[lo : lo + BLOCK + width - 1], lo, width, seed) for lo in range(0, len(raw) - width + 1, BLOCK)]
+    if not found:
+        return tuple(np.zeros(0, x) for x in (np.int64, np.int64, np.uint64, np.uint64, np.int32))
+    first, last, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+    whole = _digests(text, first, last + width)
+    return first, last, anchor, whole[:, 0], (whole[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _stretches(raw: np.ndarray, base: int, width: int, seed: int):
     n = len(raw)
-    if n < width:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     total = _prefix(raw)
     _, inverse = _tables(n + 1)
     own = _mix((total[seed:] - total[: n - seed + 1]) * inverse[: n - seed + 1])
@@ -88,9 +108,7 @@ def stretches(text: bytes, width: int = WIDTH, seed: int = SEED) -> tuple[np.nda
     at = (least & _PLACE).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     last = np.append(first[1:], len(at)) - 1
-    ends = last + width
-    whole = _mix((total[ends] - total[first]) * inverse[first] + (ends - first).astype(np.uint64))
-    return first, last, own[at[first]], whole
+    return first + base, last + base, own[at[first]]
 
 
 def _merged(ord_: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,15 +125,15 @@ def _merged(ord_: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return o[heads], s[heads], np.maximum.reduceat(e, heads)
 
 
-_SCHEMA = "kind int, a long, b long, ord long, start long, end long"
+_SCHEMA = "kind int, a long, b long, c int, ord long, start long, end long"
 _MARK, _STRETCH, _WINDOW = 0, 1, 2
 
 
-def _rows(kind: int, a, b, ord_, start, end) -> pa.RecordBatch:
+def _rows(kind: int, a, b, c, ord_, start, end) -> pa.RecordBatch:
     n = len(ord_)
     zero = np.zeros(n, np.int64)
-    cols = [np.full(n, kind, np.int32), *(zero if x is None else x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64) for x in (a, b, ord_, start, end))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "a", "b", "ord", "start", "end"])
+    cols = [np.full(n, kind, np.int32), *(zero if x is None else x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64) for x in (a, b)), (zero if c is None else c).astype(np.int32), *(x.astype(np.int64) for x in (ord_, start, end))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "a", "b", "c", "ord", "start", "end"])
 
 
 def _firsts(group: np.ndarray, ord_: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -134,26 +152,25 @@ def _scan(width: int, seed: int):
     """Texts to stretches; of stretches equal in a task's memory only the earliest goes on, the others are marked."""
 
     def settle(held):
-        ord_, first, last, anchor, whole = (np.concatenate(c) for c in zip(*held, strict=True))
-        keep = _firsts(_mix(anchor) ^ whole, ord_, first)
-        yield _rows(_STRETCH, anchor[keep], whole[keep], ord_[keep], first[keep], last[keep] + width)
+        ord_, first, last, anchor, whole, more = (np.concatenate(c) for c in zip(*held, strict=True))
+        second, kinds = pd.factorize(more)
+        keep = _firsts(pd.factorize(whole)[0].astype(np.int64) * len(kinds) + second, ord_, first)
+        yield _rows(_STRETCH, anchor[keep], whole[keep], more[keep], ord_[keep], first[keep], last[keep] + width)
         o, s, e = _merged(ord_[~keep], first[~keep], last[~keep] + width)
         if len(o):
-            yield _rows(_MARK, None, None, o, s, e)
+            yield _rows(_MARK, None, None, None, o, s, e)
 
     def run(batches):
         held, n = [], 0
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = (t or "").encode("utf-8", "replace")
-                if len(raw) < width:
-                    continue
-                first, last, anchor, whole = stretches(raw, width, seed)
-                held.append((np.full(len(first), k, np.int64), first, last, anchor, whole))
-                n += len(first)
-                if n >= HELD:
-                    yield from settle(held)
-                    held, n = [], 0
+        for k, raw in _each(batches, "ord", "raw"):
+            if raw is None or len(raw) < width:
+                continue
+            first, last, *rest = stretches(raw, width, seed)
+            held.append((np.full(len(first), k, np.int64), first, last, *rest))
+            n += len(first)
+            if n >= HELD:
+                yield from settle(held)
+                held, n = [], 0
         if held:
             yield from settle(held)
 
@@ -161,8 +178,8 @@ def _scan(width: int, seed: int):
 
 
 def _match(group: int):
-    """Streams stretches (a, b, ord, start, end, deal) sorted by (a, b, ord, start): marks the repeated ones, passes on
-    the first ones of minimisers that have several, or that are dealt to several tasks. A minimiser's rows go on
+    """Streams stretches (a, b, c, ord, start, end, deal) sorted by (a, b, c, ord, start): marks the repeated ones, passes
+    on the first ones of minimisers that have several, or that are dealt to several tasks. A minimiser's rows go on
     with b = -1, or, beyond ``group`` of them or dealt, with the number of the batch they are for."""
 
     def passed(cols, rank, size):
@@ -170,23 +187,24 @@ def _match(group: int):
         salted = (size > group) | (deal >= 0)
         out = salted | (size > 1)
         salt = np.where(salted, (deal + 1 << 32) + rank // group, -1)
-        return _rows(_STRETCH, *(x[out] for x in (a, salt, ord_, start, end)))
+        a, salt, ord_, start, end = (x[out] for x in (a, salt, ord_, start, end))
+        return _rows(_STRETCH, a, salt, None, ord_, start, end)
 
     def run(batches):
-        seen, held, done = None, None, 0  # last (a, b); first stretches of that a not yet passed on, or how many were
+        seen, held, done = None, None, 0  # last (a, b, c); first stretches of that a not yet passed on, or how many were
         for batch in batches:
-            a, b, ord_, start, end, deal = (batch.column(i).to_numpy() for i in range(6))
+            a, b, c, ord_, start, end, deal = (batch.column(i).to_numpy() for i in range(7))
             if not len(a):
                 continue
             fresh = np.ones(len(a), bool)
-            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            fresh[0] = seen != (a[0], b[0])
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+            fresh[0] = seen != (a[0], b[0], c[0])
             if not fresh.all():
-                yield _rows(_MARK, None, None, ord_[~fresh], start[~fresh], end[~fresh])
+                yield _rows(_MARK, None, None, None, ord_[~fresh], start[~fresh], end[~fresh])
             now = [x[fresh] for x in (a, ord_, start, end, deal)]
             if held is not None:
                 now = [np.concatenate(pair) for pair in zip(held, now, strict=True)]
-            before, seen = seen, (a[-1], b[-1])
+            before, seen = seen, (a[-1], b[-1], c[-1])
             if not len(now[0]):
                 continue
             heads = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1])
@@ -216,63 +234,70 @@ def _deals(stretch: DataFrame, group: int) -> DataFrame:
     return part.groupBy("a").count().where(F.col("count") > least).select("a", (F.ceil(F.col("count") * SAMPLED / group) + 1).cast("long").alias("deals"))
 
 
+def _lists(column) -> tuple[list[int], dict[str, np.ndarray]]:
+    """Ends of a column's lists of structs (null: empty), and the structs' fields, one list after the other."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    flat = column.flatten()
+    return ends, {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+
+
 def _fetch(batches):
-    """(text, stretches of it) to a row for each stretch with its bytes."""
+    """(ord, raw, parts: stretches of it) to a row for each stretch with its bytes."""
     for b in batches:
-        out = []
-        for r in b.to_pylist():
-            raw = (r["text"] or "").encode("utf-8", "replace")
-            out.extend((s["a"], s["b"], r["ord"], s["start"], s["b"] >= 0, raw[s["start"] : s["end"]]) for s in r["parts"])
-            if len(out) >= 20_000:
-                yield _fetched(out)
-                out = []
+        if not b.num_rows:
+            continue
+        ends, part = _lists(b.column("parts"))
+        out, at = [], 0
+        for ord_, raw, end in zip(b.column("ord").to_pylist(), (x.as_buffer() for x in b.column("raw")), ends, strict=True):
+            for lo in range(at, end, 20_000):
+                own = [part[k][lo : min(end, lo + 20_000)].tolist() for k in ("a", "b", "start", "end")]
+                view = memoryview(raw)
+                out.extend((x, salt, ord_, s, salt >= 0, view[s:e]) for x, salt, s, e in zip(*own, strict=True))
+                if len(out) >= 20_000:
+                    yield _fetched(out)
+                    out = []
+            at = end
         if out:
             yield _fetched(out)
 
 
 def _fetched(rows) -> pa.RecordBatch:
     kinds = {"a": pa.int64(), "salt": pa.int64(), "ord": pa.int64(), "start": pa.int64(), "salted": pa.bool_(), "data": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+    return pa.RecordBatch.from_arrays([pa.array(map(bytes, c) if n == "data" else c, k, size=len(c)) for c, (n, k) in zip(zip(*rows, strict=True), kinds.items(), strict=True)], list(kinds))
 
 
 def _index(width: int, size: int = BATCH_BYTES):
     """Streams stretches sorted by (a, salt): builds the index of a batch of groups, marks repeated windows, passes on those of salted groups."""
 
     def settle(held):
-        salted = np.array([r[4] for r in held])
-        ord_, start = np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held], np.int64)
-        strings = [r[5] for r in held]
-        index = RunIndex(strings)
-        base = index.ends - np.fromiter(map(len, strings), np.int64, len(strings))
+        salted = np.array([r[3] for r in held])
+        ord_, start = np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64)
+        index = RunIndex([r[4] for r in held])
+        start = start - (index.ends - index.sizes)  # from a place in the index to one in the text
         at, group = index.repeated(width)
         own = index.owner[at]
-        keep = _firsts(group, ord_[own], start[own] + at - base[own])
+        keep = _firsts(group, ord_[own], start[own] + at)
         gone, by = at[~keep], own[~keep]
-        o, s, e = _merged(ord_[by], start[by] + gone - base[by], start[by] + gone - base[by] + width)
+        o, s, e = _merged(ord_[by], start[by] + gone, start[by] + gone + width)
         if len(o):
-            yield _rows(_MARK, None, None, o, s, e)
+            yield _rows(_MARK, None, None, None, o, s, e)
         if salted.any():
-            every = np.flatnonzero((index.room >= width) & salted[index.owner])
-            every = np.setdiff1d(every, gone, assume_unique=True)
-            total = _prefix(index.text)
-            _, inverse = _tables(len(index.text) + 1)
-            one = (total[every + width] - total[every]) * inverse[every]
-            two = np.zeros(len(every), np.uint64)
-            for j in range(0, width, 4):  # a second hash of another kind
-                two = _mix(two ^ (index.text[every + j].astype(np.uint64) << np.uint64(24) | index.text[np.minimum(every + j + 1, every + width - 1)].astype(np.uint64) << np.uint64(16) | index.text[np.minimum(every + j + 2, every + width - 1)].astype(np.uint64) << np.uint64(8) | index.text[np.minimum(every + j + 3, every + width - 1)]))
-            own = index.owner[every]
-            place = start[own] + every - base[own]
-            yield _rows(_WINDOW, _mix(one), two, ord_[own], place, place + width)
+            left = (index.room >= width) & np.repeat(salted, index.sizes)
+            left[gone] = False
+            every = np.flatnonzero(left)
+            for lo in range(0, len(every), SLICE):
+                here = every[lo : lo + SLICE]
+                two, own = _digests(index.text, here, here + width), index.owner[here]
+                yield _rows(_WINDOW, two[:, 0].copy(), two[:, 1].copy(), None, ord_[own], start[own] + here, start[own] + here + width)
 
     def run(batches):
-        held, n = [], 0
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and n >= size and (r[0], r[1]) != (held[-1][0], held[-1][1]):
-                    yield from settle(held)
-                    held, n = [], 0
-                held.append(r)
-                n += len(r[5])
+        held, n, last = [], 0, None
+        for a, salt, *row, data in _each(batches, "a", "salt", "ord", "start", "salted", "data"):
+            if held and n >= size and (a, salt) != last:
+                yield from settle(held)
+                held, n = [], 0
+            held.append((a, *row, bytes(data)))
+            n, last = n + len(data), (a, salt)
         if held:
             yield from settle(held)
 
@@ -296,25 +321,31 @@ def numbered(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     state = texts.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
     if state.known == state.n and not texts.groupBy("doc_id").count().where("count > 1").limit(1).collect():
         return texts.select(F.col("doc_id").alias("ord"), "*")
-    ordered = texts.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text", *others)
+    # Ranges go by the texts' beginnings, which tie only where the rest is sorted in one task: the driver samples them.
+    ordered = texts.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text", *others)
     return common.materialize(ordered.mapInArrow(_number, "ord long, doc_id long, text string" + _typed(docs, others)), "numbered")[0]
 
 
+def _raw() -> Column:
+    return F.col("text").cast("binary").alias("raw")
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """(ord, start, end): byte spans to remove from ``docs`` (ord, text); spans may overlap."""
     spark = docs.sparkSession
-    one, _ = common.materialize(docs.select("ord", "text").mapInArrow(_scan(width, seed), _SCHEMA), "stretches")
-    stretch = one.where(F.col("kind") == _STRETCH).select("a", "b", "ord", "start", "end")
+    one, at_one = common.materialize(docs.select("ord", _raw()).mapInArrow(_scan(width, seed), _SCHEMA), "stretches")
+    stretch = one.where(F.col("kind") == _STRETCH).select("a", "b", "c", "ord", "start", "end")
     deal = F.coalesce(F.pmod(F.xxhash64("b"), F.col("deals")), F.lit(-1)).alias("deal")
-    marked = stretch.join(F.broadcast(_deals(stretch, group)), "a", "left").select("a", "b", "ord", "start", "end", deal)
-    dealt = marked.repartition("a", "deal").sortWithinPartitions("a", "b", "ord", "start")
-    two, _ = common.materialize(dealt.mapInArrow(_match(group), _SCHEMA), "shared-minimisers")
-    marks = one.where(F.col("kind") == _MARK).unionByName(two.where(F.col("kind") == _MARK))
-    marks, at = common.materialize(marks, "marks")
+    marked = stretch.join(F.broadcast(_deals(stretch, group)), "a", "left").select("a", "b", "c", "ord", "start", "end", deal)
+    dealt = marked.repartition("a", "deal").sortWithinPartitions("a", "b", "c", "ord", "start")
+    two, at_two = common.materialize(dealt.mapInArrow(_match(group), _SCHEMA), "shared-minimisers")
+    marks, _ = common.materialize(one.where(F.col("kind") == _MARK).unionByName(two.where(F.col("kind") == _MARK)), "marks")
     shared = two.where(F.col("kind") == _STRETCH)
     parts = shared.groupBy("ord").agg(F.collect_list(F.struct("a", "b", "start", "end")).alias("parts"))
-    data = docs.select("ord", "text").join(parts, "ord").mapInArrow(_fetch, "a long, salt long, ord long, start long, salted boolean, data binary")
+    data = docs.select("ord", _raw()).join(parts, "ord").mapInArrow(_fetch, "a long, salt long, ord long, start long, salted boolean, data binary")
     three, _ = common.materialize(data.repartition("a", "salt").sortWithinPartitions("a", "salt", "ord", "start").mapInArrow(_index(width), _SCHEMA), "index-marks")
+    common.release(spark, at_one)
+    common.release(spark, at_two)
     earliest = Window.partitionBy("a", "b").orderBy("ord", "start")
     late = three.where(F.col("kind") == _WINDOW).withColumn("n", F.row_number().over(earliest)).where("n > 1")
     spans = ["ord", "start", "end"]
@@ -323,33 +354,38 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, group:
 
 def _cut(with_text: bool):
     def run(batches):
-        for b in batches:
-            out = []
-            for doc_id, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = (text or "").encode("utf-8", "replace")
-                kept, removed, n = raw, 0, 0
-                if spans:
-                    _, s, e = _merged(np.zeros(len(spans), np.int64), np.array([x["start"] for x in spans], np.int64), np.array([x["end"] for x in spans], np.int64))
-                    removed, n = int((e - s).sum()), len(s)
-                    edges = [0, *(x for p in zip(s.tolist(), e.tolist(), strict=True) for x in p), len(raw)]
-                    kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                row = (doc_id, len(raw), removed, n, hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    shown = text
-                    if spans:  # a character of which a byte stays, stays
-                        stay = np.ones(len(raw), bool)
-                        for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                            stay[x:y] = False
-                        codes = np.frombuffer(raw, np.uint8)
-                        lead = np.flatnonzero((codes & 0xC0) != 0x80)
-                        whole = np.repeat(np.logical_or.reduceat(stay, lead), np.diff(np.append(lead, len(raw))))
-                        shown = codes[whole].tobytes().decode("utf-8", "replace")
-                    row = (*row, shown)
-                out.append(row)
-            if out:
-                kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), *b.columns[3:]], names + b.schema.names[3:])
+        for batch in batches:
+            for b in sliced(batch):
+                yield cut(b)
+
+    def cut(b):
+        out, at = [], 0
+        ends, span = _lists(b.column("spans"))
+        for doc_id, raw, end in zip(b.column("doc_id").to_pylist(), (x.as_buffer() for x in b.column("raw")), ends, strict=True):
+            view = memoryview(raw) if raw is not None else memoryview(b"")
+            kept, removed, n = view, 0, 0
+            if end > at:
+                _, s, e = _merged(np.zeros(end - at, np.int64), span["start"][at:end], span["end"][at:end])
+                removed, n = int((e - s).sum()), len(s)
+                edges = [0, *(x for p in zip(s.tolist(), e.tolist(), strict=True) for x in p), len(view)]
+                kept = b"".join(view[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+            row = (doc_id, len(view), removed, n, hashlib.sha256(kept).hexdigest())
+            if with_text:
+                shown = None if raw is None else str(view, "utf-8", "replace")
+                if n:  # a character of which a byte stays, stays
+                    stay = np.ones(len(view), bool)
+                    for x, y in zip(s.tolist(), e.tolist(), strict=True):
+                        stay[x:y] = False
+                    codes = np.frombuffer(raw, np.uint8)
+                    lead = np.flatnonzero((codes & 0xC0) != 0x80)
+                    whole = np.repeat(np.logical_or.reduceat(stay, lead), np.diff(np.append(lead, len(codes))))
+                    shown = codes[whole].tobytes().decode("utf-8", "replace")
+                row = (*row, shown)
+            out.append(row)
+            at = end
+        kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), *b.columns[3:]], names + b.schema.names[3:])
 
     return run
 
@@ -358,9 +394,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, width: int = WIDTH,
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text); with the text that is kept if asked for, and the row's ``others``."""
     ready = numbered(docs, others)
     spans = repeated_spans(ready, width)
-    gone = spans.distinct().groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    gone = spans.groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text + _typed(docs, others)
-    return ready.join(gone, "ord", "left").select("doc_id", "text", "spans", *others).mapInArrow(_cut(with_text), schema)
+    return ready.join(gone, "ord", "left").select("doc_id", _raw(), "spans", *others).mapInArrow(_cut(with_text), schema)
 
 
 def suffix_dedup_query(spark, sf_dir: str) -> DataFrame:

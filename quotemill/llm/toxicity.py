@@ -8,8 +8,9 @@ reporting). A logistic model over these sums, fitted to at most ``FIT_ROWS`` lab
 gives the score.
 
 Defined cases: null, empty and blank texts have no hits and get the score of a text without any; a
-label with a null toxic or doc_id teaches nothing; where no label of either kind is there, the
-model is the fixed one of ``DEFAULT``; repeated rows are scored alike; an empty table gives no rows.
+label with a null toxic or doc_id teaches nothing; a text with labels of both kinds, by itself or as
+a repeated row, is toxic; where no label of either kind is there, the model is the fixed one of
+``DEFAULT``; repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
+from quotemill.llm.tokenizing import sliced
 
 #: Labelled documents at most that lexicon and model are fitted to, least hash of doc_id first.
 FIT_ROWS = 20_000
-#: Terms at most; toxic documents with a term at least; its least log odds ratio.
-TERMS, SUPPORT, ODDS = 5_000, 3, 2.5
+#: Toxic documents with a term at least; its least log odds ratio.
+SUPPORT, ODDS = 3, 2.5
 #: Letters at least of a term, and of one that is matched with an error.
 LETTERS, FUZZY = 4, 5
 #: Words looked at on either side of a hit.
 WINDOW = 6
-#: Distinct words kept by a worker.
-KNOWN_WORDS = 1_000_000
+#: Distinct words kept by a worker, and states of its automaton.
+KNOWN_WORDS, STATES = 400_000, 200_000
 #: Words that address a person, verbs of reporting, marks of quotation.
 ADDRESS = frozenset("you your you're u ur du dich dir dein ihr euch tu te toi ton ta vous votre tú ti usted eres vosotros".split())
 REPORT = frozenset("said says say wrote writes called calls quoted quote quotes word term means sagte sagt schrieb wort dit écrit mot dijo dice escribió palabra".split())
@@ -124,7 +126,8 @@ class Scorer:
         """Look up the ``fresh`` ones of a text's words; after a reset, all of them."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.hits = set(), {}
-            self.automaton = LexiconAutomaton(self.automaton.weights)
+            if len(self.automaton.states) > STATES:
+                self.automaton = LexiconAutomaton(self.automaton.weights)
             fresh = words
         for raw in fresh:
             word = raw.strip(_STRIP)
@@ -191,7 +194,7 @@ def _featured(weights: dict[str, float]):
         scorer = Scorer(weights)
         for b in batches:
             rows = np.array([scorer.features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.T)], ["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.T)], ["toxic", *FEATURES])
 
     return run
 
@@ -203,30 +206,35 @@ def train(docs: DataFrame, labels: DataFrame, fold=None) -> tuple[dict[str, floa
         ids = ids.where(fold)
     # At most FIT_ROWS rows of two numbers.
     ids = ids.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS)
-    sample, _ = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["text"]), "toxicity-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    sample, _ = common.materialize(texts.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     counts = sample.select("text", "toxic").mapInArrow(_word_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    learnt = counts.where(F.col("toxic") >= SUPPORT).select("term", odds.alias("odds")).where(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "term").limit(TERMS).collect()
+    # Words that stand in SUPPORT of at most FIT_ROWS documents.
+    learnt = counts.where(F.col("toxic") >= SUPPORT).select("term", odds.alias("odds")).where(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "term").collect()
     weights = dict.fromkeys(SEEDS, ODDS) | {r.term: r.odds for r in learnt}
     if not clean or not toxic:
         return weights, DEFAULT
-    rows = sample.select("doc_id", "text").mapInArrow(_featured(weights), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)).join(ids, "doc_id").select(*FEATURES, "toxic").collect()  # FIT_ROWS at most
-    data = np.array(rows, float)
+    rows = sample.select("toxic", "text").mapInArrow(_featured(weights), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).select(*FEATURES, "toxic").collect()  # FIT_ROWS at most
+    data = np.array(sorted(map(tuple, rows)), float)
     return weights, fit_logistic(data[:, :-1], data[:, -1]).tolist()
 
 
-def score(docs: DataFrame, weights: dict[str, float], model: list[float]) -> DataFrame:
-    """doc_id and score of each row of ``docs`` (doc_id, text)."""
+def score(docs: DataFrame, weights: dict[str, float], model: list[float], others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and score of each row of ``docs`` (doc_id, text), and the row's ``others``, of which the text may be one."""
+    rest = [c for c in others if c != "text"]
 
     def run(batches):
         scorer, w = Scorer(weights), np.array(model)
-        for b in batches:
-            x = np.array([scorer.features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], ["doc_id", "score"])
+        for batch in batches:
+            for b in sliced(batch):
+                x = np.array([scorer.features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))), *(b.column(c) for c in others)], ["doc_id", "score", *others])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    typed = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest).mapInArrow(run, "doc_id long, score double" + typed)
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:

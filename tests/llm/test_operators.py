@@ -268,8 +268,7 @@ def test_pipeline_stages_keep_clean_documents(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     near = p.near_duplicate(spark, docs, sf)
     assert near.columns == p.COLUMNS
-    heads = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert {r.doc_id for r in near.collect()} == heads
+    assert {r.doc_id for r in near.collect()} == set(brute_components([(r.doc_id, r.text) for r in docs.collect()]))
     clean = p.decontamination(spark, docs, sf)
     gone = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - gone
@@ -300,6 +299,30 @@ def test_repeated_strings_keeps_the_first_of_rows_that_share_an_id(spark):
     assert sum(r.text == x for r in got) == 1
 
 
+def brute_components(rows):
+    """Component of each (doc_id, text) by the similarity of its five-word shingles: the least id, where there is one."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(k)] = min(doc_id, least.get(find(k), doc_id))
+    return [least.get(find(k)) for k in range(len(rows))]
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_near_copies_equal_brute_force(spark, block):
     ship(spark)
@@ -315,25 +338,7 @@ def test_near_copies_equal_brute_force(spark, block):
             texts.append(" ".join(copy + (passage if rng.random() < 0.2 else [])))
     texts += [" ".join([*passage, word(), word()]) for _ in range(12)]
     rows = [(k if k % 9 else None, t) for k, t in enumerate(texts)]
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    up = list(range(len(rows)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    for i, j in links:
-        up[find(i)] = find(j)
-    least = {}
-    for k, (doc_id, _) in enumerate(rows):
-        if doc_id is not None:
-            least[find(k)] = min(doc_id, least.get(find(k), doc_id))
-    want = sorted((str(doc_id), str(least.get(find(k)))) for k, (doc_id, _) in enumerate(rows))
+    want = sorted((str(doc_id), str(c)) for (doc_id, _), c in zip(rows, brute_components(rows), strict=True))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in near_copies.near_copies(docs, block).collect()) == want
     assert near_copies.near_copies(docs.where("false")).count() == 0
