@@ -91,6 +91,13 @@ def read_turns(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.transform(segments, turn))
 
 
+def loss_text(formatted: Column, loss_mask: Column) -> Column:
+    """The text under the loss mask: the spans cut out of ``formatted``, unescaped and without placeholders, nothing between."""
+    placeholders = "<\\|(" + "|".join(TOKENS) + ")\\|>"
+    spans = F.filter(loss_mask, lambda s: s.isNotNull())
+    return F.array_join(F.transform(spans, lambda s: unescape(F.regexp_replace(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")), placeholders, ""))), "")
+
+
 def chat_query(spark, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -98,7 +105,7 @@ def chat_query(spark, sf_dir: str) -> DataFrame:
     every = turns.unionByName(extra).select("conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("content"))
     back = read_turns(format_chats(every))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    lost = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    lost = loss_text(F.col("formatted"), F.col("loss_mask"))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "attachment_tokens")
 
 

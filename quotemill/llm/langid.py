@@ -1,8 +1,9 @@
 """Language identification by mixture inference.
 
 Letter trigrams of labelled texts give each language's likelihood of a word. Expectation
-maximisation estimates each document's language proportions, and the language set is the one of
-the best penalised likelihood; the largest share in it is the prediction.
+maximisation over a document's distinct words and their counts estimates its language proportions,
+and the language set is the one of the best penalised likelihood among the likeliest two, three and
+so on; the largest share in it is the prediction. Memory follows a document's distinct words.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text
 if there is nothing to learn from; rows with a null lang teach nothing; ties go to the language
@@ -11,21 +12,24 @@ that sorts first; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
+from quotemill.llm.tokenizing import sliced
 
 #: Documents of each language at most that its trigrams are counted in, least hash of doc_id first.
 FIT_ROWS = 1500
 #: Hashed trigrams.
 BUCKETS = 1 << 16
-#: Languages in a document's set at most; rounds of expectation maximisation; penalty of a language in units of log(words).
-SET, ROUNDS, PENALTY = 3, 8, 3.0
-#: Distinct words kept by a worker; words whose likelihoods are in memory at once.
-KNOWN_WORDS, AT_ONCE = 400_000, 200_000
+#: Rounds of expectation maximisation; penalty of a language in units of log(words).
+ROUNDS, PENALTY = 8, 3.0
+#: Distinct words kept by a worker; words whose likelihoods are in memory at once, but for a document of more.
+KNOWN_WORDS, AT_ONCE = 400_000, 100_000
 
 
 def _letters(word: str) -> str:
@@ -84,43 +88,44 @@ def train(docs: DataFrame, fold=None) -> tuple[list[str], np.ndarray]:
     return langs, np.log((total + smooth) / (total.sum(axis=1, keepdims=True) + smooth * BUCKETS)).astype(np.float32)
 
 
-def _mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _mixture(like: np.ndarray, counts: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the ``allowed`` languages (a row for each document) and the log likelihoods, by expectation maximisation."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    sizes = np.diff(np.append(starts, len(doc)))
+    words = np.add.reduceat(counts, starts)[:, None]
     top = like.max(axis=1, keepdims=True)
     odds = np.exp(like - top)
     for _ in range(ROUNDS):
         part = odds * share[doc]
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-        share = np.add.reduceat(part, starts) / sizes[:, None]
-    total = np.add.reduceat(np.log(np.maximum((odds * share[doc]).sum(axis=1), 1e-30)) + top[:, 0], starts)
+        part *= (counts / np.maximum(part.sum(axis=1), 1e-30))[:, None]
+        share = np.add.reduceat(part, starts) / words
+    total = np.add.reduceat(counts * (np.log(np.maximum((odds * share[doc]).sum(axis=1), 1e-30)) + top[:, 0]), starts)
     return share, total
 
 
-def infer(like: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the languages in each document's chosen set and its score; ``like`` has the log likelihoods of its words."""
+def infer(like: np.ndarray, starts: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the languages in each document's chosen set and its score; ``like`` has the log likelihoods of its distinct words, ``counts`` how often they stand."""
     n, langs = len(starts), like.shape[1]
+    counts = np.ones(len(like)) if counts is None else counts.astype(float)
     sizes = np.diff(np.append(starts, len(like)))
     doc = np.repeat(np.arange(n), sizes)
-    single = np.add.reduceat(like, starts)
+    single = np.add.reduceat(like * counts[:, None], starts)
     best = single.argmax(axis=1)
     rows = np.arange(n)
     share = np.zeros((n, langs))
     share[rows, best] = 1
-    penalty = PENALTY * np.log(sizes + 1.0)
+    penalty = PENALTY * np.log(np.add.reduceat(counts, starts) + 1.0)
     worth = single[rows, best].astype(float)
     if langs > 1:
-        full, total = _mixture(like, doc, starts, np.ones((n, langs)))
-        # A smaller set fits no better than all languages do, so most documents need no further look.
-        open_ = np.flatnonzero(total - worth > penalty)
+        full, total = _mixture(like, counts, doc, starts, np.ones((n, langs)))
         rank = (-full).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-        for size in range(2, min(SET, langs) + 1):
+        for size in range(2, langs + 1):
+            # No set fits better than all languages do, so most documents need no further look.
+            open_ = np.flatnonzero(total - penalty * (size - 1) > worth)
             if not len(open_):
                 break
             pick = np.isin(doc, open_)
             at = np.concatenate([[0], np.cumsum(sizes[open_])[:-1]])
-            part, fit = _mixture(like[pick], np.repeat(np.arange(len(open_)), sizes[open_]), at, (rank[open_] < size).astype(float))
+            part, fit = _mixture(like[pick], counts[pick], np.repeat(np.arange(len(open_)), sizes[open_]), at, (rank[open_] < size).astype(float))
             better = fit - penalty[open_] * (size - 1) > worth[open_]
             worth[open_[better]] = (fit - penalty[open_] * (size - 1))[better]
             share[open_[better]] = part[better]
@@ -154,56 +159,60 @@ class Identifier:
             else:
                 self.at[w] = -k  # no letter
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        out, score = ["und"] * len(texts), [0.0] * len(texts)
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
+        """For each text its language, the score, and the languages of its set with their shares, the largest first."""
+        out = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts], [[] for _ in texts]
         if not self.langs:
-            return out, score
+            return out
         held, size = [], 0
         for i, t in enumerate(texts):
-            words = (t or "").lower().split()
-            distinct = set(words)
-            if any(w not in self.at for w in distinct):
-                if len(self.at) + len(distinct) > KNOWN_WORDS and self.at:
+            counts = Counter((t or "").lower().split())
+            if any(w not in self.at for w in counts):
+                if len(self.at) + len(counts) > KNOWN_WORDS and self.at:
                     if held:  # their words' places are about to go
-                        self._finish(held, out, score)
+                        self._finish(held, out)
                         held, size = [], 0
                     self._reset()
-                self._learn(w for w in distinct if w not in self.at)
-            ids = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+                self._learn(w for w in counts if w not in self.at)
+            ids = np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))
+            n = np.fromiter(counts.values(), np.int64, len(counts))[ids > 0]
             ids = ids[ids > 0]
             if len(ids):
-                held.append((i, ids))
+                held.append((i, ids, n))
                 size += len(ids)
             if size >= AT_ONCE:
-                self._finish(held, out, score)
+                self._finish(held, out)
                 held, size = [], 0
         if held:
-            self._finish(held, out, score)
-        return out, score
+            self._finish(held, out)
+        return out
 
-    def _finish(self, held, out, score) -> None:
-        sizes = np.array([len(x) for _, x in held])
-        share, sure = infer(self.like[np.concatenate([x for _, x in held])], np.cumsum(sizes) - sizes)
-        for (i, _), k, s in zip(held, share.argmax(axis=1).tolist(), sure.tolist(), strict=True):
-            out[i], score[i] = self.langs[k], s
+    def _finish(self, held, out) -> None:
+        sizes = np.array([len(x) for _, x, _ in held])
+        share, sure = infer(self.like[np.concatenate([x for _, x, _ in held])], np.cumsum(sizes) - sizes, np.concatenate([n for _, _, n in held]))
+        order = (-share).argsort(axis=1, kind="stable")
+        for (i, *_), by, row, s in zip(held, order.tolist(), share.tolist(), sure.tolist(), strict=True):
+            by = [k for k in by if row[k] > 0]
+            out[0][i], out[1][i], out[2][i], out[3][i] = self.langs[by[0]], s, [self.langs[k] for k in by], [row[k] for k in by]
 
 
 def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score of each row of ``docs`` (doc_id, text)."""
+    """doc_id, lang_pred, score, and the document's languages with their shares, of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, table))
 
     def run(batches):
         model = Identifier(*shared.value)
-        for b in batches:
-            pred, score = model(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        for batch in batches:
+            for b in sliced(batch):
+                pred, score, languages, shares = model(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(languages, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "languages", "shares"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
 def langid_query(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     fold = common.fold(F.col("doc_id"), 4)
     found = identify(docs, *train(docs.select("doc_id", "text", "lang"), fold != 2))
-    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "languages", "shares")
