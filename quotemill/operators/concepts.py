@@ -2,41 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions import text as tx
+from quotemill.operators import graph
+from quotemill.operators.places import numbered_id, place
 
 #: Kinds of concepts that are materials and services, and the type each kind is normalised to.
 MATERIAL_KINDS = ("item", "partida")
 SERVICE_KINDS = ("commercial_condition", "observation", "technical_element")
 TYPES = {"item": "material", "partida": "partida", "commercial_condition": "commercial_element", "observation": "service", "technical_element": "technical_element"}
-_COLUMNS = ["process_id", "document_id", "provider_id", "detector", "pos", "kind", "description"]
+MATERIAL_TYPES = ("material", "partida", "specification")
+#: Labels of the commercial fields, and scopes of services that name none.
+COMMERCIAL_LABELS = {"currency": "Moneda", "total_amount": "Monto total", "payment_terms": "Condiciones de pago"}
+SCOPES = {"commercial_condition": "condicion_comercial", "observation": "observacion", "technical_element": "especificacion_tecnica"}
+#: Relation and confidence of what each detector finds, in the order in which they run.
+RELATIONS = {"exact": ("equivalent", "high"), "cross_type": ("distinct", "medium"), "shared_origin": ("related", "low")}
+_COLUMNS = ["process_id", "document_id", "provider_id", "detector", "part", "pos", "kind", "description", "field"]
 
 
-def detect(items: DataFrame) -> DataFrame:
-    """Concepts of items: the items themselves, their specifications, and each document's conditions and currency."""
-    item = items.where(tx.nonblank(F.col("description"))).select("process_id", "document_id", "provider_id", F.lit(1).alias("detector"), "pos", F.when(tx.nonblank(F.col("quantity")) | tx.nonblank(F.col("unit")), "partida").otherwise("item").alias("kind"), "description")
-    technical = items.where(tx.nonblank(F.col("specification"))).select("process_id", "document_id", "provider_id", F.lit(2).alias("detector"), "pos", F.lit("technical_element").alias("kind"), F.col("specification").alias("description"))
-    per_document = items.groupBy("process_id", "document_id", "provider_id").agg(F.min("pos").alias("pos"), F.sum("price_cents").alias("total"), F.min("priority").alias("priority"))
-    fields = F.array(F.lit("currency: USD"), F.concat(F.lit("total_amount: "), F.col("total").cast("string")))
-    commercial = per_document.select("process_id", "document_id", "provider_id", F.lit(3).alias("detector"), F.posexplode(fields).alias("k", "description"), "pos").select("process_id", "document_id", "provider_id", "detector", (F.col("pos") * 10 + F.col("k")).alias("pos"), F.lit("commercial_element").alias("kind"), "description")
-    condition = per_document.select("process_id", "document_id", "provider_id", F.lit(4).alias("detector"), "pos", F.lit("commercial_condition").alias("kind"), F.concat(F.lit("Entrega: "), F.col("priority")).alias("description"))
-    return item.unionByName(technical).unionByName(commercial).unionByName(condition).select(*_COLUMNS)
+def _concept(detector: int, part: int, pos: Column, kind: Column, description: Column, field: Column | None = None) -> Column:
+    made = F.struct(F.lit(detector).alias("detector"), F.lit(part).alias("part"), pos.cast("long").alias("pos"), kind.alias("kind"), description.cast("string").alias("description"), (F.lit(None) if field is None else field).cast("string").alias("field"))
+    return F.when(tx.nonblank(description.cast("string")), made)
+
+
+def _exploded(rows: DataFrame, made: list[Column]) -> DataFrame:
+    found = rows.select("process_id", "document_id", "provider_id", F.explode(F.array_compact(F.array(*made))).alias("x"))
+    return found.select("process_id", "document_id", "provider_id", "x.*").select(*_COLUMNS)
+
+
+def detect_items(items: DataFrame) -> DataFrame:
+    """The items themselves, their specifications and the values of their technical fields (``fields``: name to column), in one pass."""
+    kind = F.when(tx.nonblank(F.col("quantity")) | tx.nonblank(F.col("unit")), "partida").otherwise("item")
+    technical = F.lit("technical_element")
+    made = [_concept(1, 0, F.col("pos"), kind, F.col("description")), _concept(2, 0, F.col("pos"), technical, F.col("specification"))]
+    made += [_concept(2, 1, F.col("pos"), technical, F.col(name), F.lit(name)) for name in ("size",) if name in items.columns]
+    return _exploded(items, made)
+
+
+def detect_documents(documents: DataFrame) -> DataFrame:
+    """The commercial fields, conditions and observations of documents (currency, total_amount, payment_terms, conditions, observations)."""
+    commercial = F.lit("commercial_element")
+    made = [_concept(3, i, F.col("pos"), commercial, F.when(tx.nonblank(F.col(name)), F.concat(F.lit(f"{label}: "), tx.strip(F.col(name)))), F.lit(name)) for i, (name, label) in enumerate(COMMERCIAL_LABELS.items())]
+    made += [_concept(4, 0, F.col("pos"), F.lit("commercial_condition"), F.col("condition"), F.col("condition_type")), _concept(5, 0, F.col("pos"), F.lit("observation"), F.col("observation"), F.col("observation_type"))]
+    return _exploded(documents, made)
+
+
+def detect(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """Concepts of items and of their documents."""
+    return detect_items(items).unionByName(detect_documents(documents))
 
 
 def numbered(concepts: DataFrame, cap: int | None = None) -> DataFrame:
     """Concepts with their sequence in the document and ids; no more than ``cap`` of a document if it is given."""
-    order = Window.partitionBy("process_id", "document_id").orderBy("detector", "pos", "kind", "description")
+    order = Window.partitionBy("process_id", "document_id").orderBy("detector", "part", "pos", "kind", "description")
     out = concepts.withColumn("sequence", F.row_number().over(order))
     out = out if cap is None else out.where(F.col("sequence") <= cap)
     return out.withColumn("concept_id", F.format_string("cae://%s/concept-%04d", "document_id", "sequence"))
 
 
+def services(concepts: DataFrame) -> DataFrame:
+    """Concepts that are services, with their scope: what the document names, else that of the kind."""
+    named = F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv])
+    return concepts.where(F.col("kind").isin(*SERVICE_KINDS)).withColumn("scope", F.coalesce("field", named[F.col("kind")]))
+
+
 def normalized(concepts: DataFrame) -> DataFrame:
     """Materials and services with their normal form and type; concepts of other kinds go."""
     pairs = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    return concepts.where(F.col("kind").isin(*MATERIAL_KINDS, *SERVICE_KINDS)).select("process_id", "document_id", "provider_id", "detector", "pos", pairs[F.col("kind")].alias("concept_type"), F.col("description").alias("original_value"), tx.normalize_ascii(F.col("description")).alias("normalized_value"))
+    return concepts.where(F.col("kind").isin(*MATERIAL_KINDS, *SERVICE_KINDS)).select("process_id", "document_id", "provider_id", "detector", "part", "pos", pairs[F.col("kind")].alias("concept_type"), F.col("description").alias("original_value"), tx.normalize(F.col("description")).alias("normalized_value"))
+
+
+def specifications(items: DataFrame, concepts: DataFrame) -> DataFrame:
+    """The specifications of materials, then of services (technical elements are their own), as concepts of a type of their own."""
+    of_materials = items.where(tx.nonblank(F.col("description")) & tx.nonblank(F.col("specification"))).select("process_id", "document_id", "pos", F.lit("material").alias("source"), F.col("specification").alias("original_value"))
+    of_services = concepts.where("kind = 'technical_element'").select("process_id", "document_id", "pos", F.lit("service").alias("source"), F.col("description").alias("original_value"))
+    both = of_materials.unionByName(of_services)
+    return both.withColumn("concept_type", F.lit("specification")).withColumn("normalized_value", tx.normalize(F.col("original_value")))
 
 
 def union_distinct(concepts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -48,7 +91,8 @@ def equivalence_pairs(concepts: DataFrame, kind: str, cross_document: bool = Tru
     """Unordered pairs (process_id, a, b, value) of concepts (process_id, document_id, pos, concept_type, normalized_value, origin).
 
     ``exact``: same value and type; ``cross_type``: same value, other type; ``shared_origin``: same
-    origin, other normal value. A self-join on the equal keys, with the rest as a residual.
+    origin, other normal value. A self-join on the equal keys, with the rest as a residual. All pairs
+    are asked for here, so a value of n concepts has n squared of them; groups need none.
     """
     rows = concepts.where("normalized_value <> ''")
     a, b = rows.alias("a"), rows.alias("b")
@@ -66,6 +110,36 @@ def equivalence_pairs(concepts: DataFrame, kind: str, cross_document: bool = Tru
     return a.join(b, on).select(F.col("a.process_id").alias("process_id"), F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), F.col("a.normalized_value").alias("value"))
 
 
+def pair_detector(kind: str):
+    """A detector (concepts to pairs) of the given kind, for the registry of detectors."""
+    return lambda concepts: equivalence_pairs(concepts, kind)
+
+
+def equivalences(concepts: DataFrame, detectors: dict) -> DataFrame:
+    """What all detectors find, in their order: relation, confidence and the sequence in the process."""
+    parts = []
+    for i, (kind, find) in enumerate(detectors.items()):
+        relation, confidence = RELATIONS.get(kind, ("related", "low"))
+        parts.append(find(concepts).select("process_id", "a", "b", F.lit(kind).alias("detector"), F.lit(i).alias("_order"), F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return place(every, ["process_id"], ["_order", "a", "b"], "sequence").drop("_order")
+
+
+def equivalence_links(concepts: DataFrame) -> DataFrame:
+    """(a, b): each concept of a value and type that two documents have, linked to the least one: as connected as all pairs are."""
+    by = ["process_id", "normalized_value", "concept_type"]
+    rows = concepts.where("normalized_value <> ''")
+    least = rows.groupBy(*by).agg(F.min("pos").alias("b"), F.countDistinct("document_id").alias("_d")).where("_d >= 2").drop("_d")
+    return rows.join(least, by).select(F.col("pos").alias("a"), "b").where("a <> b")
+
+
+def clusters(concepts: DataFrame) -> DataFrame:
+    """(node, component) of equivalent concepts by their links."""
+    return graph.components(equivalence_links(concepts))
+
+
 def comparable_groups(concepts: DataFrame, min_members: int = 1) -> DataFrame:
     """The connected components of exact equivalence across documents, in closed form.
 
@@ -75,5 +149,11 @@ def comparable_groups(concepts: DataFrame, min_members: int = 1) -> DataFrame:
     by = ["process_id", "normalized_value", "concept_type"]
     groups = concepts.where("normalized_value <> '' and document_id <> ''").groupBy(*by).agg(F.count("*").alias("members_count"), F.min("pos").alias("first_member"), F.countDistinct("document_id").alias("document_count"))
     kept = groups.where((F.col("document_count") >= 2) & (F.col("members_count") >= min_members))
-    rank = F.row_number().over(Window.partitionBy("process_id").orderBy("first_member", "concept_type"))
-    return kept.withColumn("group_id", F.format_string("GC-%06d", rank)).withColumn("group_type", F.when(F.col("concept_type").isin("material", "partida"), "material").otherwise("service"))
+    kind = F.when(F.col("concept_type").isin(*MATERIAL_TYPES), "material").otherwise("service")
+    return place(kept, ["process_id"], ["first_member", "concept_type"], "_place").withColumn("group_id", numbered_id("GC", "_place")).withColumn("group_type", kind).drop("_place")
+
+
+def group_records(members: DataFrame) -> DataFrame:
+    """The sets of a group: its concepts, documents and providers, each once and in order; a set has no more than the group."""
+    ordered = lambda c: F.array_sort(F.collect_set(c))
+    return members.groupBy("process_id", "group_id").agg(ordered("pos").alias("concept_ids"), ordered("document_id").alias("document_ids"), ordered("provider_id").alias("provider_references"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import text as tx
 from quotemill.operators import analysis as an
+from quotemill.operators.places import numbered_id, place
 
 #: Attributes that name a field of the document, and words that type a context element.
 ATTRIBUTES = {
@@ -23,8 +24,9 @@ ELEMENT_WORDS = (("commercial_requirement", "comercial|precio|pago"), ("technica
 FALLBACK_PROVIDER = "PROVEEDOR-1"
 
 
-def sequence_id(prefix: str, by: list[str], order: list[str]) -> Column:
-    return F.format_string(f"{prefix}-%06d", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def with_id(rows: DataFrame, name: str, prefix: str, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with numbered ids in each lane ``by``."""
+    return place(rows, by, order, "_place").withColumn(name, numbered_id(prefix, "_place")).drop("_place")
 
 
 def seeded_concepts(concepts: DataFrame, items: DataFrame) -> DataFrame:
@@ -41,15 +43,14 @@ def document_snapshot(concepts: DataFrame) -> DataFrame:
 
 def structures(groups: DataFrame) -> DataFrame:
     """A table for each comparable group."""
-    return groups.select("process_id", "group_id", sequence_id("CTS", ["process_id"], ["group_id"]).alias("table_id"))
+    return with_id(groups.select("process_id", "group_id"), "table_id", "CTS", ["process_id"], ["group_id"])
 
 
 def document_providers(documents: DataFrame) -> DataFrame:
     """Providers of each process by document, repeats kept; a process that names none has the fallback."""
     named = documents.where(tx.nonblank(F.col("provider_id")))
-    place = F.row_number().over(Window.partitionBy("process_id").orderBy("document_id"))
     bare = documents.select("process_id").distinct().join(named.select("process_id").distinct(), "process_id", "left_anti")
-    return named.select("process_id", place.alias("position"), "provider_id").unionByName(bare.select("process_id", F.lit(1).alias("position"), F.lit(FALLBACK_PROVIDER).alias("provider_id")))
+    return place(named, ["process_id"], ["document_id"]).select("process_id", "position", "provider_id").unionByName(bare.select("process_id", F.lit(1).cast("long").alias("position"), F.lit(FALLBACK_PROVIDER).alias("provider_id")))
 
 
 def looked_up(rows: DataFrame, tables: DataFrame, on: list[str]) -> DataFrame:
@@ -79,13 +80,13 @@ def traced(tables: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
     by = ["process_id", "group_id"]
     n = lambda d, name: d.groupBy(*by).agg(F.count("*").alias(name))
     both = tables.join(n(columns, "columns"), by, "left").join(n(rows, "rows"), by, "left").na.fill(0, ["columns", "rows"])
-    return both.withColumn("integrity", (F.col("columns") > 0) & (F.col("rows") > 0)).withColumn("trace_id", sequence_id("TME", ["process_id"], ["table_id"]))
+    return with_id(both.withColumn("integrity", (F.col("columns") > 0) & (F.col("rows") > 0)), "trace_id", "TME", ["process_id"], ["table_id"])
 
 
 def definitive_models(tables: DataFrame, members: DataFrame) -> DataFrame:
     """Models with the documents of their group, each once and in order."""
     documents = members.groupBy("process_id", "group_id").agg(F.array_sort(F.collect_set("document_id")).alias("documents"))
-    return tables.join(documents, ["process_id", "group_id"]).withColumn("model_id", sequence_id("CMD", ["process_id"], ["table_id"]))
+    return with_id(tables.join(documents, ["process_id", "group_id"]), "model_id", "CMD", ["process_id"], ["table_id"])
 
 
 def group_findings(rows: DataFrame, key: list[str], checks: dict[tuple[str, str], Column]) -> DataFrame:
@@ -186,4 +187,4 @@ def recommendation(scores: DataFrame) -> DataFrame:
 def distinct_in_order(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Values of a group, each once, by where it comes first."""
     firsts = rows.groupBy(*by, value).agg(F.min(order).alias("_first"))
-    return firsts.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("_first", value))).drop("_first")
+    return place(firsts, by, ["_first", value]).drop("_first")

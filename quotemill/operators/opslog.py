@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.session import cut
+from quotemill.operators.places import place
 
 #: Categories by error code, and by words of the description in the order in which they are tried.
 ERROR_CODES = {"structural_validation_failed": "validation", "required_field_missing": "validation", "invalid_field_type": "validation", "contract_version_unsupported": "validation", "process_not_found": "system_internal", "operation_not_executed": "processing", "api_not_initialized": "communication", "coordinator_required": "communication", "pio_orchestration_required": "communication"}
@@ -13,11 +13,13 @@ ERROR_WORDS = (("documental", "document|documento|evidencia"), ("temporary", "ti
 RECOVERABLE = ("communication", "processing", "temporary")
 #: Formats by extension, media type and signature, and the confidence of each way.
 EXTENSIONS = {".pdf": "pdf", ".docx": "word", ".doc": "word", ".xlsx": "excel", ".xls": "excel", ".png": "image", ".jpg": "image", ".jpeg": "image", ".tiff": "image", ".bmp": "image"}
-MEDIA = {"application/pdf": "pdf", "application/msword": "word", "application/vnd.ms-excel": "excel", "image/png": "image", "image/jpeg": "image", "image/tiff": "image", "image/bmp": "image", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "word", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "excel"}
+MEDIA = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "word", "application/msword": "word", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "excel", "application/vnd.ms-excel": "excel", "image/png": "image", "image/jpeg": "image", "image/tiff": "image", "image/bmp": "image"}
 SIGNATURES = {"%PDF": "pdf", "PK": "word", "D0CF11E0": "word", "89504E47": "image", "FFD8FF": "image"}
 MAGIC, DECLARED, EXTENSION, MIME, LEAST = 0.98, 0.95, 0.90, 0.85, 0.5
 MAX_BYTES = 50_000_000
 RULES = ("corrupt", "empty", "inaccessible", "incomplete", "inconsistent", "invalid_size", "unsupported_format")
+#: Severity of each category of error.
+SEVERITIES = {"validation": "warning", "documental": "warning", "communication": "error", "processing": "error", "temporary": "warning", "permanent": "critical", "system_internal": "critical"}
 
 
 def _lookup(c: Column, values: dict[str, str]) -> Column:
@@ -50,6 +52,15 @@ def incidents(doc: dict[str, Column]) -> Column:
     return F.filter(F.array(*(F.when(broken[r], F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
 
 
+def warnings(doc: dict[str, Column]) -> Column:
+    """Names of the validation rules that only warn."""
+    return F.filter(F.array(F.when(doc["illegible"], F.lit("illegible"))), lambda x: x.isNotNull())
+
+
+def severity(category: Column) -> Column:
+    return F.coalesce(_lookup(category, SEVERITIES), F.lit("error"))
+
+
 def validation_status(n_incidents: Column, n_warnings: Column) -> Column:
     return F.when(n_incidents > 0, "failed").when(n_warnings > 0, "warning").otherwise("passed")
 
@@ -82,19 +93,8 @@ def running_usage(events: DataFrame, key: str, amount: Column) -> DataFrame:
 
 
 def fifo_positions(queue: DataFrame, lane: str, order: list[str]) -> DataFrame:
-    """Place of each pending item in its lane, first in first out, where one lane may hold most items.
-
-    Rows are range-sorted by lane and order over all tasks; a task's places start after the counts of
-    the tasks before it, of which there is one row for each lane and task.
-    """
-    # Written once, so that both readers below see the same tasks.
-    ranged = cut(queue.repartitionByRange(lane, *order).withColumn("_task", F.spark_partition_id()))
-    before = Window.partitionBy(lane).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(lane, "_task").agg(F.count("*").alias("_n"))
-    starts = counts.select(F.col(lane).alias("_lane"), F.col("_task").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy(lane, "_task").orderBy(*order)
-    placed = ranged.withColumn("_own", F.row_number().over(own))
-    return placed.join(starts, (F.col(lane) == F.col("_lane")) & (F.col("_task") == F.col("_of"))).withColumn("position", F.col("_start") + F.col("_own")).drop("_lane", "_task", "_of", "_start", "_own")
+    """Place of each pending item in its lane, first in first out."""
+    return place(queue, [lane], order)
 
 
 #: Retries of a recoverable failure, depth of a congested queue, keys that may be null, operations that may repeat.

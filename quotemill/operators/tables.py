@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.operators.places import numbered_id, place
+
 
 def dynamic_columns(attributes: DataFrame) -> DataFrame:
     """Columns of each table from attributes (process_id, group_id, source_ord, name): first of a name by source, case aside."""
     first = Window.partitionBy("process_id", "group_id", F.lower("name")).orderBy("source_ord", "name")
     kept = attributes.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     at = Window.partitionBy("process_id", "group_id").orderBy("source_ord", "name")
-    every = Window.partitionBy("process_id").orderBy("group_id", "source_ord", "name")
-    return kept.withColumn("logical_position", F.row_number().over(at)).withColumn("column_id", F.format_string("DCC-%06d", F.row_number().over(every)))
+    return place(kept.withColumn("logical_position", F.row_number().over(at)), ["process_id"], ["group_id", "source_ord", "name"], "_place").withColumn("column_id", numbered_id("DCC", "_place")).drop("_place")
 
 
 def dynamic_rows(groups: DataFrame, providers: DataFrame) -> DataFrame:
     """A row for each table and provider of its process."""
-    rank = Window.partitionBy("process_id").orderBy("group_id", "provider_id")
-    return groups.select("process_id", "group_id").join(providers, "process_id").withColumn("row_id", F.format_string("DCR-%06d", F.row_number().over(rank)))
+    every = groups.select("process_id", "group_id").join(providers, "process_id")
+    return place(every, ["process_id"], ["group_id", "provider_id"], "_place").withColumn("row_id", numbered_id("DCR", "_place")).drop("_place")
 
 
 def organized_providers(rows: DataFrame) -> DataFrame:
@@ -35,10 +36,12 @@ def source_map(documents: DataFrame) -> DataFrame:
 
 
 def fill_cells(rows: DataFrame, by_document: DataFrame, by_provider: DataFrame) -> DataFrame:
-    """Value of each row by its document, else by its provider if that has just one document."""
+    """Value of each row by its document, else by its provider if that has just one document; where it has several, the cell is ambiguous."""
     direct = rows.join(by_document.select("process_id", "group_id", F.col("document_id"), F.col("value").alias("_direct")), ["process_id", "group_id", "document_id"], "left")
-    single = by_provider.where("document_count = 1").select("process_id", "provider_id", F.col("value").alias("_single"))
-    return direct.join(single, ["process_id", "provider_id"], "left").select("process_id", "group_id", "provider_id", "document_id", F.coalesce("_direct", "_single").alias("value"))
+    known = by_provider.select("process_id", "provider_id", "document_count", F.col("value").alias("_value"))
+    several = F.coalesce(F.col("document_count") > 1, F.lit(False))
+    value = F.coalesce("_direct", F.when(~several, F.col("_value")))
+    return direct.join(known, ["process_id", "provider_id"], "left").select("process_id", "group_id", "provider_id", "document_id", value.alias("value"), (F.col("_direct").isNull() & several).alias("ambiguous"))
 
 
 def matrix(cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import analysis as an
 from quotemill.operators import concepts as co
-from quotemill.operators import graph
 from quotemill.operators import models as md
 from quotemill.operators import tables as tb
 from quotemill.plans import registry as r
 from quotemill.plans.registry import query
+from quotemill.plans.stages import Stages
 from quotemill.sources import quotations as src
 
 
 @query("WITH " + r._GROUPS + " SELECT n.pos AS node, g.first_member AS component FROM normalized n JOIN groups g USING (process_id, normalized_value, concept_type) WHERE detector = 1")
 def union_find_groups(spark, d):
-    return graph.components(co.equivalence_pairs(r._item_concepts(spark, d), "exact").select("a", "b"))
+    return co.clusters(Stages(spark, d).item_concepts)
 
 
 @query("WITH " + src.ITEMS_SQL + " SELECT document_id, pos, description, false AS seeded FROM items WHERE quantity <> '' UNION ALL SELECT document_id, pos, description, true FROM items WHERE document_id NOT IN (SELECT document_id FROM items WHERE quantity <> '')")
@@ -27,7 +27,7 @@ def seed_concepts(spark, d):
 
 @query("WITH " + r._NORMALIZED + " SELECT process_id, document_id, count(*) AS concepts, string_agg(DISTINCT concept_type, ',' ORDER BY concept_type) AS types FROM normalized GROUP BY 1, 2")
 def document_snapshot(spark, d):
-    return md.document_snapshot(co.normalized(r._concepts(spark, d)))
+    return md.document_snapshot(Stages(spark, d).normalized)
 
 
 _TABLES = r._GROUPS + ", tables AS (SELECT process_id, group_id, 'CTS-' || lpad((row_number() OVER (PARTITION BY process_id ORDER BY group_id))::VARCHAR, 6, '0') AS table_id FROM groups)"
@@ -35,7 +35,7 @@ _TABLES = r._GROUPS + ", tables AS (SELECT process_id, group_id, 'CTS-' || lpad(
 
 @query("WITH " + _TABLES + " SELECT process_id, group_id, table_id FROM tables")
 def table_structures(spark, d):
-    return md.structures(r._groups(spark, d))
+    return md.structures(Stages(spark, d).groups)
 
 
 @query("WITH " + src.ITEMS_SQL + ", docs AS (SELECT DISTINCT process_id, document_id, provider_id FROM items) SELECT process_id, row_number() OVER (PARTITION BY process_id ORDER BY document_id) AS position, provider_id FROM docs WHERE process_id NOT LIKE '%-01' UNION ALL SELECT DISTINCT process_id, 1, 'PROVEEDOR-1' FROM docs WHERE process_id LIKE '%-01'")
@@ -70,12 +70,14 @@ _TRACE = _TABLES + r._ATTRIBUTES.removeprefix(r._GROUPS) + r._ROWS.removeprefix(
 
 @query("WITH " + _TRACE + ", c AS (SELECT process_id, group_id, count(*) AS columns FROM columns GROUP BY 1, 2), w AS (SELECT process_id, group_id, count(*) AS rows FROM trows GROUP BY 1, 2) SELECT process_id, group_id, table_id, c.columns, w.rows, true AS integrity, 'TME-' || right(table_id, 6) AS trace_id FROM tables JOIN c USING (process_id, group_id) JOIN w USING (process_id, group_id)")
 def traceability_enrichment(spark, d):
-    return md.traced(md.structures(r._groups(spark, d)), r._columns(spark, d), r._rows(spark, d))
+    s = Stages(spark, d)
+    return md.traced(md.structures(s.groups), s.columns, s.rows)
 
 
 @query("WITH " + _TABLES + " SELECT t.process_id, t.group_id, table_id, 'CMD-' || right(table_id, 6) AS model_id, string_agg(DISTINCT n.document_id, ',' ORDER BY n.document_id) AS documents FROM tables t JOIN groups g ON t.process_id = g.process_id AND t.group_id = g.group_id JOIN normalized n ON n.process_id = g.process_id AND n.normalized_value = g.normalized_value AND n.concept_type = g.concept_type WHERE detector = 1 GROUP BY 1, 2, 3")
 def definitive_models(spark, d):
-    return md.definitive_models(md.structures(r._groups(spark, d)), r._members(spark, d)).withColumn("documents", F.array_join("documents", ","))
+    s = Stages(spark, d)
+    return md.definitive_models(md.structures(s.groups), s.members).withColumn("documents", F.array_join("documents", ","))
 
 
 @query("WITH f AS (SELECT l_orderkey, l_linenumber, l_tax, s_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) > 1 AS dc, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) > 1 AS dp FROM lineitem LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey) SELECT l_orderkey, l_linenumber, 'duplicate_column' AS category, 'error' AS severity FROM f WHERE dc UNION ALL SELECT l_orderkey, l_linenumber, 'duplicate_provider', 'error' FROM f WHERE dp UNION ALL SELECT l_orderkey, l_linenumber, 'dangling_provider', 'error' FROM f WHERE s_suppkey IS NULL UNION ALL SELECT l_orderkey, l_linenumber, 'missing_document', 'warning' FROM f WHERE l_tax = 0")
@@ -106,8 +108,8 @@ def global_uniqueness(spark, d):
 
 @query("WITH " + _TABLES + " SELECT process_id, (SELECT count(*) FROM concepts c WHERE c.process_id = p.process_id) AS concepts, (SELECT count(*) FROM normalized c WHERE c.process_id = p.process_id) AS normalized, (SELECT count(*) FROM tables c WHERE c.process_id = p.process_id) AS tables, EXISTS (SELECT 1 FROM tables c WHERE c.process_id = p.process_id) AS complete FROM (SELECT DISTINCT process_id FROM items) p")
 def trace_chain_quality(spark, d):
-    concepts = r._concepts(spark, d)
-    return md.chain_quality({"concepts": concepts, "normalized": co.normalized(concepts), "tables": md.structures(r._groups(spark, d))})
+    s = Stages(spark, d)
+    return md.chain_quality({"concepts": s.concepts, "normalized": s.normalized, "tables": md.structures(s.groups)})
 
 
 @query("SELECT event_id, 'model_mismatch' AS category FROM events WHERE event_id % 7 = 0 UNION ALL SELECT event_id, 'group_mismatch' FROM events WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'no_document' FROM events WHERE event_id % 13 = 0")
@@ -119,8 +121,9 @@ def integrity_evaluation(spark, d):
 
 @query("WITH " + r._ATTRIBUTES + " SELECT DISTINCT process_id, name AS key FROM columns c WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.process_id = c.process_id AND i.specification = c.name AND i.unit <> '')")
 def columns_without_value(spark, d):
-    keys = src.items(spark, d).where("unit <> ''").select("process_id", F.col("specification").alias("key"))
-    return tb.dangling(r._columns(spark, d).select("process_id", F.col("name").alias("key")).distinct(), keys, ["process_id", "key"])
+    s = Stages(spark, d)
+    keys = s.items.where("unit <> ''").select("process_id", F.col("specification").alias("key"))
+    return tb.dangling(s.columns.select("process_id", F.col("name").alias("key")).distinct(), keys, ["process_id", "key"])
 
 
 _RISKS = r._COUNTS + f""", missed AS (SELECT p.process_id, p.provider_id FROM (SELECT DISTINCT process_id, provider_id FROM evidence) p, (SELECT unnest({[*an.CATEGORIES]}) AS category) c WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.process_id = p.process_id AND e.provider_id = p.provider_id AND e.category = c.category)),

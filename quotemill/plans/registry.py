@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions import text as tx
 from quotemill.operators import analysis as an
 from quotemill.operators import concepts as co
+from quotemill.operators import models as md
 from quotemill.operators import opslog as ops
 from quotemill.operators import tables as tb
 from quotemill.session import ship
+from quotemill.plans.stages import Stages
 from quotemill.sources import quotations as src
 
 _QUERIES: dict = {}
@@ -42,19 +44,20 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _norm_sql(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^\\w\\s./-]', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-_DETECT = src.ITEMS_SQL + """, perdoc AS (
-  SELECT process_id, document_id, provider_id, min(pos) AS pos, sum(price_cents)::BIGINT AS total, min(priority) AS priority FROM items GROUP BY ALL),
-concepts AS (
-  SELECT process_id, document_id, provider_id, 1 AS detector, pos, CASE WHEN quantity <> '' OR unit <> '' THEN 'partida' ELSE 'item' END AS kind, description FROM items WHERE trim(description) <> ''
-  UNION ALL SELECT process_id, document_id, provider_id, 2, pos, 'technical_element', specification FROM items WHERE trim(specification) <> ''
-  UNION ALL SELECT process_id, document_id, provider_id, 3, pos * 10, 'commercial_element', 'currency: USD' FROM perdoc
-  UNION ALL SELECT process_id, document_id, provider_id, 3, pos * 10 + 1, 'commercial_element', 'total_amount: ' || total FROM perdoc
-  UNION ALL SELECT process_id, document_id, provider_id, 4, pos, 'commercial_condition', 'Entrega: ' || priority FROM perdoc)"""
+    return f"trim(regexp_replace(regexp_replace(strip_accents(lower(trim({x}))), '[^\\w\\s./-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_DETECT = src.ITEMS_SQL + ", " + src.DOCUMENTS_SQL + """, concepts AS (
+  SELECT process_id, document_id, provider_id, 1 AS detector, 0 AS part, pos, CASE WHEN quantity <> '' OR unit <> '' THEN 'partida' ELSE 'item' END AS kind, description, NULL AS field FROM items WHERE trim(description) <> ''
+  UNION ALL SELECT process_id, document_id, provider_id, 2, 0, pos, 'technical_element', specification, NULL FROM items WHERE trim(specification) <> ''
+  UNION ALL SELECT process_id, document_id, provider_id, 2, 1, pos, 'technical_element', size::VARCHAR, 'size' FROM items
+  UNION ALL SELECT process_id, document_id, provider_id, 3, 0, pos, 'commercial_element', 'Moneda: ' || currency, 'currency' FROM documents_of
+  UNION ALL SELECT process_id, document_id, provider_id, 3, 1, pos, 'commercial_element', 'Monto total: ' || total_amount, 'total_amount' FROM documents_of
+  UNION ALL SELECT process_id, document_id, provider_id, 3, 2, pos, 'commercial_element', 'Condiciones de pago: ' || payment_terms, 'payment_terms' FROM documents_of
+  UNION ALL SELECT process_id, document_id, provider_id, 4, 0, pos, 'commercial_condition', condition, 'entrega' FROM documents_of
+  UNION ALL SELECT process_id, document_id, provider_id, 5, 0, pos, 'observation', observation, NULL FROM documents_of WHERE observation <> '')"""
 _NORMALIZED = _DETECT + f""", normalized AS (
-  SELECT process_id, document_id, provider_id, detector, pos, CASE kind WHEN 'item' THEN 'material' WHEN 'partida' THEN 'partida' WHEN 'technical_element' THEN 'technical_element' ELSE 'commercial_element' END AS concept_type,
+  SELECT process_id, document_id, provider_id, detector, part, pos, CASE kind WHEN 'item' THEN 'material' WHEN 'partida' THEN 'partida' WHEN 'technical_element' THEN 'technical_element' WHEN 'observation' THEN 'service' ELSE 'commercial_element' END AS concept_type,
     description AS original_value, {_norm_sql("description")} AS normalized_value FROM concepts WHERE kind <> 'commercial_element')"""
 _GROUPS = _NORMALIZED + """, grouped AS (
   SELECT process_id, normalized_value, concept_type, count(*) AS members_count, min(pos) AS first_member, count(DISTINCT document_id) AS document_count
@@ -62,19 +65,6 @@ _GROUPS = _NORMALIZED + """, grouped AS (
 groups AS (SELECT *, 'GC-' || lpad((row_number() OVER (PARTITION BY process_id ORDER BY first_member, concept_type))::VARCHAR, 6, '0') AS group_id, 'material' AS group_type FROM grouped)"""
 
 
-def _concepts(spark: SparkSession, d: str) -> DataFrame:
-    return co.detect(src.items(spark, d))
-
-
-def _item_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised items: the concepts that pairs and groups are made of; their origin is the order."""
-    return co.normalized(_concepts(spark, d).where("detector = 1")).withColumn("origin", F.expr("pos div 100000000"))
-
-
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return co.comparable_groups(_item_concepts(spark, d))
-
-
 # Text and sources
 
 
@@ -138,34 +128,34 @@ def pipe_tables(spark, d):
 # Concepts
 
 
-@query("WITH " + _DETECT + " SELECT document_id, kind, description, pos, row_number() OVER (PARTITION BY process_id, document_id ORDER BY detector, pos, kind, description) AS sequence FROM concepts")
+@query("WITH " + _DETECT + " SELECT document_id, kind, description, pos, row_number() OVER (PARTITION BY process_id, document_id ORDER BY detector, part, pos, kind, description) AS sequence FROM concepts")
 def concept_extract(spark, d):
-    return co.numbered(_concepts(spark, d)).select("document_id", "kind", "description", "pos", "sequence")
+    return co.numbered(Stages(spark, d).concepts).select("document_id", "kind", "description", "pos", "sequence")
 
 
 @query("WITH " + _DETECT + " SELECT kind, count(*) AS n, count(DISTINCT document_id) AS documents FROM concepts GROUP BY 1")
 def concept_kind(spark, d):
-    return _concepts(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("documents"))
+    return Stages(spark, d).concepts.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("documents"))
 
 
 @query("WITH " + _DETECT + " SELECT document_id, pos, kind, description FROM concepts WHERE kind IN ('item', 'partida')")
 def material_filter(spark, d):
-    return _concepts(spark, d).where(F.col("kind").isin(*co.MATERIAL_KINDS)).select("document_id", "pos", "kind", "description")
+    return Stages(spark, d).concepts.where(F.col("kind").isin(*co.MATERIAL_KINDS)).select("document_id", "pos", "kind", "description")
 
 
 @query("WITH " + _DETECT + " SELECT document_id, pos, kind, description FROM concepts WHERE kind IN ('commercial_condition', 'observation', 'technical_element')")
 def service_filter(spark, d):
-    return _concepts(spark, d).where(F.col("kind").isin(*co.SERVICE_KINDS)).select("document_id", "pos", "kind", "description")
+    return Stages(spark, d).concepts.where(F.col("kind").isin(*co.SERVICE_KINDS)).select("document_id", "pos", "kind", "description")
 
 
 @query("WITH " + _NORMALIZED + " SELECT document_id, pos, concept_type, original_value, normalized_value FROM normalized")
 def normalized_concepts(spark, d):
-    return co.normalized(_concepts(spark, d)).select("document_id", "pos", "concept_type", "original_value", "normalized_value")
+    return Stages(spark, d).normalized.select("document_id", "pos", "concept_type", "original_value", "normalized_value")
 
 
 @query("WITH " + _NORMALIZED + " SELECT process_id, document_id, concept_type, normalized_value, min(pos) AS pos FROM normalized GROUP BY ALL")
 def collective_union_distinct(spark, d):
-    return co.union_distinct(co.normalized(_concepts(spark, d)), ["process_id", "document_id", "concept_type", "normalized_value"], ["pos"]).select("process_id", "document_id", "concept_type", "normalized_value", "pos")
+    return co.union_distinct(Stages(spark, d).normalized, ["process_id", "document_id", "concept_type", "normalized_value"], ["pos"]).select("process_id", "document_id", "concept_type", "normalized_value", "pos")
 
 
 _PAIR = "WITH " + _NORMALIZED + ", r AS (SELECT *, pos // 100000000 AS origin FROM normalized WHERE detector = 1 AND normalized_value <> '') SELECT a.process_id AS process_id, a.pos AS a, b.pos AS b, a.normalized_value AS value FROM r a JOIN r b ON a.process_id = b.process_id AND a.pos < b.pos AND a.document_id <> b.document_id AND "
@@ -173,41 +163,41 @@ _PAIR = "WITH " + _NORMALIZED + ", r AS (SELECT *, pos // 100000000 AS origin FR
 
 @query(_PAIR + "a.normalized_value = b.normalized_value AND a.concept_type = b.concept_type")
 def equiv_exact_pairs(spark, d):
-    return co.equivalence_pairs(_item_concepts(spark, d), "exact")
+    return co.equivalence_pairs(Stages(spark, d).item_concepts, "exact")
 
 
 @query(_PAIR + "a.normalized_value = b.normalized_value AND a.concept_type <> b.concept_type")
 def equiv_cross_type_pairs(spark, d):
-    return co.equivalence_pairs(_item_concepts(spark, d), "cross_type")
+    return co.equivalence_pairs(Stages(spark, d).item_concepts, "cross_type")
 
 
 @query(_PAIR + "a.origin = b.origin AND a.normalized_value <> b.normalized_value")
 def equiv_shared_origin(spark, d):
-    return co.equivalence_pairs(_item_concepts(spark, d), "shared_origin")
+    return co.equivalence_pairs(Stages(spark, d).item_concepts, "shared_origin")
 
 
 @query("WITH " + _GROUPS + " SELECT process_id, group_id, group_type, normalized_value, concept_type, members_count, document_count, first_member FROM groups")
 def comparable_groups(spark, d):
-    return _groups(spark, d).select("process_id", "group_id", "group_type", "normalized_value", "concept_type", "members_count", "document_count", "first_member")
+    return Stages(spark, d).groups.select("process_id", "group_id", "group_type", "normalized_value", "concept_type", "members_count", "document_count", "first_member")
 
 
 @query("WITH " + _GROUPS + " SELECT process_id, normalized_value, concept_type, members_count FROM groups WHERE members_count >= 3")
 def group_min_members(spark, d):
-    return co.comparable_groups(_item_concepts(spark, d), 3).select("process_id", "normalized_value", "concept_type", "members_count")
+    return co.comparable_groups(Stages(spark, d).item_concepts, 3).select("process_id", "normalized_value", "concept_type", "members_count")
 
 
 @query("WITH " + _GROUPS + ", ctx AS (SELECT process_id, 'CTX-' || process_id AS context_id, count(DISTINCT document_id) AS documents FROM items GROUP BY 1) SELECT process_id, group_id, context_id, documents FROM groups JOIN ctx USING (process_id)")
 def context_association(spark, d):
-    items = src.items(spark, d)
-    context = items.groupBy("process_id").agg(F.countDistinct("document_id").alias("documents")).withColumn("context_id", F.concat(F.lit("CTX-"), F.col("process_id")))
-    return _groups(spark, d).join(context, "process_id").select("process_id", "group_id", "context_id", "documents")
+    s = Stages(spark, d)
+    context = s.items.groupBy("process_id").agg(F.countDistinct("document_id").alias("documents")).withColumn("context_id", F.concat(F.lit("CTX-"), F.col("process_id")))
+    return s.groups.join(context, "process_id").select("process_id", "group_id", "context_id", "documents")
 
 
 @query("WITH " + _GROUPS + " SELECT g.process_id, g.group_id, 'CDM-' || lpad((row_number() OVER (PARTITION BY g.process_id ORDER BY g.group_id))::VARCHAR, 6, '0') AS model_id, i.description AS primary_item, g.members_count FROM groups g JOIN items i ON g.first_member = i.pos")
 def domain_model_join(spark, d):
-    items = src.items(spark, d).select(F.col("pos").alias("first_member"), F.col("description").alias("primary_item"))
-    rank = F.row_number().over(Window.partitionBy("process_id").orderBy("group_id"))
-    return _groups(spark, d).join(items, "first_member").withColumn("model_id", F.format_string("CDM-%06d", rank)).select("process_id", "group_id", "model_id", "primary_item", "members_count")
+    s = Stages(spark, d)
+    items = s.items.select(F.col("pos").alias("first_member"), F.col("description").alias("primary_item"))
+    return md.with_id(s.groups.join(items, "first_member"), "model_id", "CDM", ["process_id"], ["group_id"]).select("process_id", "group_id", "model_id", "primary_item", "members_count")
 
 
 # Comparison tables
@@ -217,48 +207,34 @@ attributes AS (
   SELECT process_id, group_id, 1 AS source_ord, unnest(['group_type', 'members_count']) AS name FROM groups
   UNION ALL SELECT process_id, group_id, 2, 'concept_type' FROM groups
   UNION ALL SELECT DISTINCT m.process_id, group_id, 3, specification FROM members m JOIN items i USING (pos)
-  UNION ALL SELECT process_id, group_id, 4, 'GROUP_TYPE' FROM groups),
+  UNION ALL SELECT process_id, group_id, 4, 'GROUP_TYPE' FROM groups
+  UNION ALL SELECT g.process_id, group_id, 5, description FROM groups g JOIN items i ON g.first_member = i.pos),
 columns AS (SELECT * FROM attributes QUALIFY row_number() OVER (PARTITION BY process_id, group_id, lower(name) ORDER BY source_ord, name) = 1)"""
 
 
-def _members(spark, d) -> DataFrame:
-    return _item_concepts(spark, d).join(_groups(spark, d).select("process_id", "normalized_value", "concept_type", "group_id"), ["process_id", "normalized_value", "concept_type"])
-
-
-def _columns(spark, d) -> DataFrame:
-    groups = _groups(spark, d).select("process_id", "group_id")
-    fixed = groups.select("process_id", "group_id", F.explode(F.array(*(F.struct(F.lit(o).alias("source_ord"), F.lit(n).alias("name")) for o, n in ((1, "group_type"), (1, "members_count"), (2, "concept_type"), (4, "GROUP_TYPE"))))).alias("x")).select("process_id", "group_id", "x.*")
-    specs = _members(spark, d).join(src.items(spark, d).select("pos", "specification"), "pos").select("process_id", "group_id", F.lit(3).alias("source_ord"), F.col("specification").alias("name")).distinct()
-    return tb.dynamic_columns(fixed.unionByName(specs))
-
-
 @query("WITH " + _ATTRIBUTES + " SELECT process_id, group_id, name, row_number() OVER (PARTITION BY process_id, group_id ORDER BY source_ord, name) AS logical_position, 'DCC-' || lpad((row_number() OVER (PARTITION BY process_id ORDER BY group_id, source_ord, name))::VARCHAR, 6, '0') AS column_id FROM columns")
 def dynamic_columns(spark, d):
-    return _columns(spark, d).select("process_id", "group_id", "name", "logical_position", "column_id")
+    return Stages(spark, d).columns.select("process_id", "group_id", "name", "logical_position", "column_id")
 
 
 _ROWS = _GROUPS + ", providers AS (SELECT DISTINCT process_id, provider_id FROM items), trows AS (SELECT process_id, group_id, provider_id, 'DCR-' || lpad((row_number() OVER (PARTITION BY process_id ORDER BY group_id, provider_id))::VARCHAR, 6, '0') AS row_id FROM groups JOIN providers USING (process_id))"
 
 
-def _rows(spark, d) -> DataFrame:
-    return tb.dynamic_rows(_groups(spark, d), src.items(spark, d).select("process_id", "provider_id").distinct())
-
-
 @query("WITH " + _ROWS + " SELECT process_id, group_id, count(*) AS rows, min(row_id) AS first_row, max(row_id) AS last_row FROM trows GROUP BY 1, 2")
 def dynamic_rows_cross(spark, d):
-    return _rows(spark, d).groupBy("process_id", "group_id").agg(F.count("*").alias("rows"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    return Stages(spark, d).rows.groupBy("process_id", "group_id").agg(F.count("*").alias("rows"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
 
 
 _CELLS = _GROUPS + ", cells AS (SELECT n.process_id, group_id, i.document_id, min(price_cents) AS value FROM normalized n JOIN groups g USING (process_id, normalized_value, concept_type) JOIN items i ON i.pos = n.pos WHERE detector = 1 GROUP BY ALL), map AS (SELECT process_id, provider_id, count(DISTINCT document_id) AS document_count, min(document_id) AS first_document FROM items GROUP BY 1, 2), totals AS (SELECT process_id, provider_id, sum(price_cents)::BIGINT AS value FROM items GROUP BY 1, 2)"
 
 
-@query("WITH " + _CELLS + " SELECT g.process_id, g.group_id, m.provider_id, m.first_document AS document_id, coalesce(c.value, CASE WHEN m.document_count = 1 THEN t.value END) AS value FROM groups g JOIN map m USING (process_id) JOIN totals t USING (process_id, provider_id) LEFT JOIN cells c ON c.process_id = g.process_id AND c.group_id = g.group_id AND c.document_id = m.first_document")
+@query("WITH " + _CELLS + " SELECT g.process_id, g.group_id, m.provider_id, m.first_document AS document_id, coalesce(c.value, CASE WHEN m.document_count = 1 THEN t.value END) AS value, c.value IS NULL AND m.document_count > 1 AS ambiguous FROM groups g JOIN map m USING (process_id) JOIN totals t USING (process_id, provider_id) LEFT JOIN cells c ON c.process_id = g.process_id AND c.group_id = g.group_id AND c.document_id = m.first_document")
 def cell_fill_left_join(spark, d):
-    items = src.items(spark, d)
-    sources = tb.source_map(items)
-    rows = _groups(spark, d).select("process_id", "group_id").join(sources.select("process_id", "provider_id", F.col("first_document").alias("document_id")), "process_id")
-    cells = _members(spark, d).join(items.select("pos", "price_cents"), "pos").groupBy("process_id", "group_id", "document_id").agg(F.min("price_cents").alias("value"))
-    totals = items.groupBy("process_id", "provider_id").agg(F.sum("price_cents").alias("value")).join(sources.select("process_id", "provider_id", "document_count"), ["process_id", "provider_id"])
+    s = Stages(spark, d)
+    sources = tb.source_map(s.items)
+    rows = s.groups.select("process_id", "group_id").join(sources.select("process_id", "provider_id", F.col("first_document").alias("document_id")), "process_id")
+    cells = s.members.join(s.items.select("pos", "price_cents"), "pos").groupBy("process_id", "group_id", "document_id").agg(F.min("price_cents").alias("value"))
+    totals = s.items.groupBy("process_id", "provider_id").agg(F.sum("price_cents").alias("value")).join(sources.select("process_id", "provider_id", "document_count"), ["process_id", "provider_id"])
     return tb.fill_cells(rows, cells, totals)
 
 

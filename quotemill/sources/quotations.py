@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quotemill.functions import text as tx
 
 
+#: Currencies that the providers' nations quote in.
+CURRENCIES = ("USD", "PEN", "EUR")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,30 +31,46 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
     process = F.date_format("o_orderdate", "yyyy-MM")
+    named = F.concat_ws(" ", "p_name", "p_brand")
     return joined.select(
         process.alias("process_id"),
         F.concat(process, F.lit("/N"), F.col("s_nationkey").cast("string")).alias("document_id"),
         F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("provider_id"),
         (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000 + F.col("l_partkey") % 10000) * 1000 + F.col("l_suppkey") % 1000).cast("long").alias("pos"),
-        F.concat_ws(" ", "p_name", "p_brand").alias("description"),
+        F.when((F.col("p_size") % 4 == 0) & (F.col("l_linenumber") % 2 == 1), F.translate(named, "aeiou", "áéíóú")).otherwise(named).alias("description"),
         F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
         F.when(F.col("l_linestatus") == "F", "kg").otherwise("").alias("unit"),
         F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5).cast("long").alias("price_cents"),
         F.col("p_type").alias("specification"),
         F.col("p_size").alias("size"),
         F.col("o_orderpriority").alias("priority"),
+        F.element_at(F.array(*map(F.lit, CURRENCIES)), F.col("s_nationkey") % len(CURRENCIES) + 1).alias("currency"),
     )
 
 
 #: The same items in DuckDB's SQL.
-ITEMS_SQL = """items AS (
+ITEMS_SQL = f"""items AS (
   SELECT strftime(o_orderdate, '%Y-%m') AS process_id, strftime(o_orderdate, '%Y-%m') || '/N' || s_nationkey AS document_id, 'N' || s_nationkey AS provider_id,
-    (((l_orderkey * 10 + l_linenumber) * 10000 + l_partkey % 10000) * 1000 + l_suppkey % 1000)::BIGINT AS pos, p_name || ' ' || p_brand AS description,
+    (((l_orderkey * 10 + l_linenumber) * 10000 + l_partkey % 10000) * 1000 + l_suppkey % 1000)::BIGINT AS pos,
+    CASE WHEN p_size % 4 = 0 AND l_linenumber % 2 = 1 THEN translate(p_name || ' ' || p_brand, 'aeiou', 'áéíóú') ELSE p_name || ' ' || p_brand END AS description,
     CASE WHEN l_returnflag = 'N' THEN '' ELSE floor(l_quantity)::INT::VARCHAR END AS quantity, CASE WHEN l_linestatus = 'F' THEN 'kg' ELSE '' END AS unit,
-    floor(l_extendedprice * 100 / l_quantity + 0.5)::BIGINT AS price_cents, p_type AS specification, p_size AS size, o_orderpriority AS priority
+    floor(l_extendedprice * 100 / l_quantity + 0.5)::BIGINT AS price_cents, p_type AS specification, p_size AS size, o_orderpriority AS priority, {[*CURRENCIES]}[s_nationkey % {len(CURRENCIES)} + 1] AS currency
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
+def documents(items: DataFrame) -> DataFrame:
+    """The documents of items with their commercial fields, a condition and, of some providers, an observation."""
+    per = items.groupBy("process_id", "document_id", "provider_id").agg(F.min("pos").alias("pos"), F.min("currency").alias("currency"), F.sum("price_cents").cast("string").alias("total_amount"), F.min("priority").alias("payment_terms"))
+    watched = F.when(F.col("provider_id").endswith("4"), F.concat(F.lit("Revisar monto en "), F.col("currency"))).otherwise("")
+    return per.select("*", F.concat(F.lit("Entrega: "), F.col("payment_terms")).alias("condition"), F.lit("entrega").alias("condition_type"), watched.alias("observation"), F.lit(None).cast("string").alias("observation_type"))
+
+
+#: The same documents in DuckDB's SQL, after the items.
+DOCUMENTS_SQL = """documents_of AS (
+  SELECT *, 'Entrega: ' || payment_terms AS condition, CASE WHEN provider_id LIKE '%4' THEN 'Revisar monto en ' || currency ELSE '' END AS observation
+  FROM (SELECT process_id, document_id, provider_id, min(pos) AS pos, min(currency) AS currency, sum(price_cents)::BIGINT::VARCHAR AS total_amount, min(priority) AS payment_terms FROM items GROUP BY ALL))"""
+
+
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item lines of quotation texts, one a row, as a supplier would write them."""
     i = items(spark, sf_dir)
@@ -63,3 +83,15 @@ def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = ITEMS_SQL + """, lines AS (
   SELECT process_id, document_id, pos, CASE WHEN size % 3 = 0 THEN description || ' x' || q || ' ' || price WHEN unit <> '' THEN description || '    ' || q || ' ' || unit || '    ' || price ELSE description || '    ' || q || '    ' || price END AS line
   FROM (SELECT *, CASE WHEN quantity = '' THEN '1' ELSE quantity END AS q, (price_cents // 100)::VARCHAR || '.' || lpad((price_cents % 100)::VARCHAR, 2, '0') AS price FROM items))"""
+
+
+def quotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quotation text for each order: a head with provider, currency, total and terms, then its items, some with accents, capitals and no-break spaces."""
+    i = item_lines(spark, sf_dir).withColumn("o", F.expr("pos div 100000000")).groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("process_id"))
+    k = F.col("o_orderkey")
+    head = F.concat(
+        F.when(k % 2 == 0, "RAZÓN SOCIAL: ").otherwise("Cotización de "), F.lit("Señor "), F.col("o_custkey").cast("string"), F.lit(". \nMoneda:"), F.lit("\u00a0"), F.element_at(F.array(*map(F.lit, CURRENCIES)), (k % 3 + 1).cast("int")),
+        F.lit("\nMONTO TOTAL:\u00a0"), F.format_string("%.2f", "o_totalprice"), F.lit("\nCondición de pago: "), F.col("o_orderpriority"), F.lit("\nDescripción  Cantidad  Precio\n"),
+    )
+    return orders.join(i, k == F.col("o")).select("process_id", F.concat(F.lit("Q"), k.cast("string")).alias("document_id"), k.alias("order_id"), "o_custkey", "o_totalprice", "o_orderpriority", F.concat(head, F.col("lines")).alias("text"))
