@@ -64,7 +64,14 @@ def _latin() -> tuple[str, str, str]:
 _FROM, _TO, _MARKS = _latin()
 _UPPER = "".join(c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c.lower() in _FROM and len(c.lower()) == 1 and c.lower() != c)
 _IS_ASCII = r"^\p{ASCII}*$"
-_IS_LATIN = r"^[\p{ASCII}" + "".join(map(re.escape, _FROM + _UPPER)) + r"\x{300}-\x{36F}]*$"
+
+
+def _is_ascii(c: Column) -> Column:
+    return c.rlike(_IS_ASCII)
+
+
+def _is_latin(c: Column) -> Column:
+    return _is_ascii(F.translate(c, _FROM + _UPPER + _MARKS, ""))
 
 
 def normalize_latin(c: Column) -> Column:
@@ -81,7 +88,8 @@ def _normalize_any(values: pd.Series) -> pd.Series:
 def normalize(c: Column) -> Column:
     """The normal form of any text: built in for ASCII and Latin letters, Arrow-batched for the rest, which alone goes to Python."""
     text = F.coalesce(c, F.lit(""))
-    return F.when(text.rlike(_IS_ASCII), normalize_ascii(text)).when(text.rlike(_IS_LATIN), normalize_latin(text)).otherwise(_normalize_any(F.when(~text.rlike(_IS_LATIN), text)))
+    other = F.when(~_is_ascii(text), F.when(~_is_latin(text), text))
+    return F.when(_is_ascii(text), normalize_ascii(text)).when(_is_latin(text), normalize_latin(text)).otherwise(_normalize_any(other))
 
 
 def clean_text(c: Column) -> Column:

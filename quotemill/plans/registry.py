@@ -21,6 +21,8 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
@@ -30,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _register() -> None:
-    from quotemill.plans import documents, models, operations  # noqa: F401  they add their queries to this module's
+    from quotemill.plans import documents, evidence, models, operations  # noqa: F401  they add their queries to this module's
 
 
 def queries() -> dict:
@@ -323,27 +325,11 @@ def missing_categories_anti(spark, d):
     return an.missing_categories(_evidence(spark, d), ["process_id", "provider_id"])
 
 
-@query("WITH " + src.ITEMS_SQL + ", e AS (SELECT process_id, provider_id, specification AS key FROM items), p AS (SELECT process_id, count(DISTINCT provider_id) AS providers FROM e GROUP BY 1) SELECT process_id, key, count(DISTINCT provider_id) AS present, any_value(providers) AS providers FROM e JOIN p USING (process_id) GROUP BY 1, 2 HAVING any_value(providers) >= 2 AND count(DISTINCT provider_id) < any_value(providers)")
-def provider_comparability(spark, d):
-    e = src.items(spark, d).select("process_id", "provider_id", F.col("specification").alias("key"))
-    return an.comparability(e, ["process_id"])
-
-
 @query("WITH " + _EVIDENCE + " SELECT process_id, provider_id, key, count(DISTINCT value) AS n_values, count(DISTINCT category) AS n_categories, CASE WHEN count(DISTINCT category) > 1 THEN 'incompatible' ELSE 'contradictory' END AS kind FROM evidence GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND (count(DISTINCT value) > 1 OR count(DISTINCT category) > 1)")
 def non_contradiction(spark, d):
     return an.contradictions(_evidence(spark, d), ["process_id"])
 
 
-_LAST = _EVIDENCE + ", lasts AS (SELECT process_id, provider_id, key, arg_max(value, seq) AS value FROM evidence GROUP BY 1, 2, 3)"
-
-
-@query("WITH " + _LAST + " SELECT process_id, provider_id, a.key AS left_key, a.value AS left_value, b.key AS right_key, b.value AS right_value FROM lasts a JOIN lasts b USING (process_id, provider_id) WHERE a.key = 'specification' AND b.key = 'plazo_entrega' AND a.value <> b.value")
-def coherence_last_value(spark, d):
-    last = an.last_values(_evidence(spark, d).where(F.col("key").isin("specification", "plazo_entrega")), ["process_id", "provider_id", "key"])
-    side = lambda k, n: last.where(F.col("key") == k).select("process_id", "provider_id", F.col("key").alias(f"{n}_key"), F.col("value").alias(f"{n}_value"))
-    return side("specification", "left").join(side("plazo_entrega", "right"), ["process_id", "provider_id"]).where("left_value <> right_value")
-
-
 _COUNTS = _EVIDENCE + """, counted AS (
   SELECT process_id, provider_id, count(*) AS evidence, count(*) FILTER (WHERE key = 'plazo_entrega') AS strengths, count(*) FILTER (WHERE key = 'unidad') AS weaknesses,
     2 * count(*) FILTER (WHERE value LIKE '%URGENT') AS risks, (10 - count(DISTINCT category))::BIGINT AS missing FROM evidence GROUP BY 1, 2)"""
@@ -355,12 +341,6 @@ def _counted(spark, d) -> DataFrame:
     return _evidence(spark, d).groupBy("process_id", "provider_id").agg(F.count("*").alias("evidence"), one(F.col("key") == "plazo_entrega").alias("strengths"), one(F.col("key") == "unidad").alias("weaknesses"), (2 * one(F.col("value").endswith("URGENT"))).alias("risks"), (10 - F.countDistinct("category")).alias("missing"))
 
 
-@query("WITH " + _COUNTS + " SELECT process_id, provider_id, CASE WHEN evidence = 0 OR risks > 40 THEN 'insufficient' WHEN missing > 50 OR weaknesses > 100 OR missing > 0 OR weaknesses > 0 THEN 'partial' ELSE 'sufficient' END AS level FROM counted")
-def sufficiency(spark, d):
-    c = F.col
-    return _counted(spark, d).select("process_id", "provider_id", an.sufficiency(c("evidence"), c("missing"), c("weaknesses"), F.when(c("risks") > 40, 1).otherwise(0)).alias("level"))
-
-
 @query("WITH " + _EVIDENCE + " SELECT process_id, category, count(*) AS risks FROM evidence WHERE value LIKE '%URGENT' OR key = 'unidad' GROUP BY 1, 2")
 def risk_counts(spark, d):
     return _evidence(spark, d).where(F.col("value").endswith("URGENT") | (F.col("key") == "unidad")).groupBy("process_id", "category").agg(F.count("*").alias("risks"))
@@ -378,18 +358,6 @@ def context_theta_match(spark, d):
     return an.context_matches(_elements(spark, d), _evidence(spark, d).select("process_id", "key", "value").distinct(), ["process_id"]).distinct()
 
 
-@query("WITH " + _CONTEXT + " SELECT process_id, key FROM elements e WHERE NOT EXISTS (SELECT 1 FROM kinds k WHERE k.process_id = e.process_id AND (contains(k.key, e.key) OR contains(e.key, k.key)))")
-def context_gaps_anti(spark, d):
-    elements, keys = _elements(spark, d), _evidence(spark, d).select("process_id", F.col("key").alias("k")).distinct()
-    return elements.alias("e").join(keys.alias("v"), (F.col("e.process_id") == F.col("v.process_id")) & (F.contains("k", "key") | F.contains("key", "k")), "left_anti").select("process_id", "key")
-
-
-@query("WITH " + _COUNTS + " SELECT process_id, section, sum(n)::BIGINT AS n FROM (UNPIVOT counted ON evidence, strengths, weaknesses, risks, missing INTO NAME section VALUE n) GROUP BY 1, 2")
-def explanation_counts(spark, d):
-    names = ["evidence", "strengths", "weaknesses", "risks", "missing"]
-    return _counted(spark, d).unpivot(["process_id", "provider_id"], names, "section", "n").groupBy("process_id", "section").agg(F.sum("n").alias("n"))
-
-
 @query("WITH " + _COUNTS + " SELECT process_id, provider_id, evidence, strengths, weaknesses, risks, missing, (evidence + strengths - weaknesses - risks - missing)::DOUBLE AS score FROM counted")
 def provider_score(spark, d):
     return an.provider_scores(_counted(spark, d))
