@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quotemill.llm import common
 from quotemill.llm.token_binary import _each, _partition
-from quotemill.llm.tokenizing import encoder, sliced, vocabulary_path
+from quotemill.llm.tokenizing import encoder, relieve, sliced, vocabulary_path
 
 SEQUENCE = 2048
 #: Buckets of a hashed document vector, dimensions of its projection, bits of each.
@@ -86,6 +86,7 @@ def _tokenized(vocabulary: str, end_id: int):
                     out.append(doc.astype("<u2" if doc.max() <= 0xFFFF else "<u4").tobytes())
                 yield pa.RecordBatch.from_pydict({"uid": pa.array(row + np.arange(len(out)), pa.int64()), "doc_id": part.column(0), "key": pa.array(_keys(ids, sizes), pa.int64()), "n": pa.array(sizes + 1, pa.int64()), "ids": pa.array(out, pa.binary())})
                 row += len(out)
+        relieve()
 
     return run
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quotemill.llm import common
 from quotemill.llm.runindex import RunIndex
 from quotemill.llm.token_binary import _each, _partition
-from quotemill.llm.tokenizing import sliced
+from quotemill.llm.tokenizing import relieve, sliced
 
 WIDTH = 100
 SEED = 32
@@ -173,6 +173,8 @@ def _scan(width: int, seed: int):
                 held, n = [], 0
         if held:
             yield from settle(held)
+        del held
+        relieve()
 
     return run
 
@@ -300,6 +302,8 @@ def _index(width: int, size: int = BATCH_BYTES):
             n, last = n + len(data), (a, salt)
         if held:
             yield from settle(held)
+        del held
+        relieve()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
-from quotemill.llm.tokenizing import encoder, sliced, vocabulary_path
+from quotemill.llm.tokenizing import encoder, relieve, sliced, vocabulary_path
 
 MAGIC = b"QMTB"
 #: Ids in a block, at most, but for a longer document's.
@@ -124,6 +124,7 @@ def _tokenized(vocabulary: str, end_id: int):
                 held = [tuple(x.copy() for x in h) for h in held]  # no views of what is large
         if held:
             yield row()
+        relieve()
 
     return run
 

@@ -15,6 +15,8 @@ Strings of special tokens in a text are ordinary text, as the vocabulary's own n
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import json
 import sys
@@ -33,7 +35,7 @@ _ALPHABET[np.setdiff1d(np.arange(256), _PRINTABLE)] = 256 + np.arange(256 - len(
 #: Distinct pieces, and their code points, kept by a worker; beyond either the cache starts anew.
 CACHE_PIECES, CACHE_CODES = 1_500_000, 12_000_000
 #: Code points cut at once, about; bounds a worker's memory for long texts and large batches.
-CHUNK = 300_000
+CHUNK = 200_000
 
 
 @functools.cache
@@ -42,14 +44,25 @@ def _classes() -> np.ndarray:
     import regex
 
     out = np.full(0x110000, _OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for cls, what in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
-        for m in regex.finditer(f"{what}+", every):
-            a, b = m.span()
-            out[[ord(c) for c in every[a:b]]] = cls
+    for lo in range(0, 0x110000, 0x800):
+        if 0xD800 <= lo < 0xE000:
+            continue
+        some = np.arange(lo, lo + 0x800, dtype="<u4").tobytes().decode("utf-32-le")
+        for cls, what in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+            for m in regex.finditer(f"{what}+", some):
+                out[lo + m.start() : lo + m.end()] = cls
     return out
 
 
+def relieve() -> None:
+    """Give memory that a task no longer needs back to the system: workers stay for the tasks after."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def cut(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Starts of the pieces of texts that lie one after the other in ``codes``; ``bounds`` has each text's start and the end."""
     n = len(codes)
@@ -156,11 +169,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        spec = json.loads(self.tokenizer.to_str())
-        self.special = [t["content"] for t in spec.get("added_tokens") or () if special or not t["special"]]
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not (spec.get("truncation") or spec.get("padding"))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.by_piece = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not (self.tokenizer.truncation or self.tokenizer.padding)
         self._reset()
+        relieve()
 
     def _reset(self):
         self.known = HashSlots()

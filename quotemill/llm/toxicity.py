@@ -34,7 +34,7 @@ LETTERS, FUZZY = 4, 5
 #: Words looked at on either side of a hit.
 WINDOW = 6
 #: Distinct words kept by a worker, and states of its automaton.
-KNOWN_WORDS, STATES = 400_000, 200_000
+KNOWN_WORDS, STATES = 250_000, 200_000
 #: Words that address a person, verbs of reporting, marks of quotation.
 ADDRESS = frozenset("you your you're u ur du dich dir dein ihr euch tu te toi ton ta vous votre tú ti usted eres vosotros".split())
 REPORT = frozenset("said says say wrote writes called calls quoted quote quotes word term means sagte sagt schrieb wort dit écrit mot dijo dice escribió palabra".split())
