@@ -94,10 +94,12 @@ def confidence(coverage: Column, sufficient: Column, risks: Column, gaps: Column
 
 
 def context_matches(elements: DataFrame, evidence: DataFrame, by: list[str]) -> DataFrame:
-    """Context elements with evidence of an equal key, a key that holds the other, or an equal value; always within ``by``."""
-    e, v = elements.alias("e"), evidence.alias("v")
-    on = F.lit(True)
-    for k in by:
-        on = (F.col(f"e.{k}") == F.col(f"v.{k}")) if k == by[0] else on & (F.col(f"e.{k}") == F.col(f"v.{k}"))
-    near = F.contains(F.col("e.key"), F.col("v.key")) | F.contains(F.col("v.key"), F.col("e.key")) | (F.col("e.value") == F.col("v.value"))
-    return e.join(v, on & near).select(*(F.col(f"e.{k}").alias(k) for k in by), F.col("e.key").alias("element"), F.col("v.key").alias("key"))
+    """Context elements with evidence of an equal key, a key that holds the other, or an equal value; always within ``by``.
+
+    Keys are compared once for each distinct pair; equal values are an equi-join.
+    """
+    e = elements.select(*by, F.col("key").alias("element"), F.col("value").alias("_v"))
+    v = evidence.select(*by, "key", F.col("value").alias("_v"))
+    near = e.select(*by, "element").distinct().join(v.select(*by, "key").distinct(), by).where(F.contains("element", "key") | F.contains("key", "element"))
+    same = e.join(v, [*by, "_v"]).select(*by, "element", "key")
+    return near.select(*by, "element", "key").unionByName(same).distinct()

@@ -87,6 +87,28 @@ def active_duplicates(queue: DataFrame, key: str) -> DataFrame:
     return queue.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))).where("_n > 1").drop("_n")
 
 
+#: The source that may enqueue, and the depth of the queue.
+QUEUE_SOURCE, QUEUE_DEPTH = "ecg", 10_000
+
+
+def enqueue(requests: DataFrame, key: str, order: list[str], depth: int = QUEUE_DEPTH) -> DataFrame:
+    """What becomes of each request to enqueue: its source must be the right one, its process may wait once, and the queue takes ``depth``."""
+    fit = F.col("source") == QUEUE_SOURCE
+    first = F.row_number().over(Window.partitionBy(key, fit).orderBy(*order)) == 1
+    # Only accepted ones take a place: the first of each process, in order.
+    taken = place(requests.withColumn("_new", fit & first).withColumn("_lane", F.col("_new")), ["_lane"], order, "_place")
+    full = F.col("_new") & (F.col("_place") > depth)
+    return taken.withColumn("outcome", F.when(~fit, "rejected_source").when(~F.col("_new"), "already_queued").when(full, "queue_full").otherwise("accepted")).drop("_new", "_lane", "_place")
+
+
+def audit_responses(messages: DataFrame, order: list[str]) -> DataFrame:
+    """Issues of messages (process_id, direction): no process, or a response to what was never requested before."""
+    before = F.max((F.col("direction") == "request").cast("int")).over(Window.partitionBy("process_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    bare = F.trim(F.coalesce("process_id", F.lit(""))) == ""
+    issues = F.array(F.when(bare, "missing_id"), F.when(~bare & (F.col("direction") == "response") & (F.coalesce(before, F.lit(0)) == 0), "inconsistent_response"))
+    return messages.withColumn("issues", F.array_compact(issues))
+
+
 def running_usage(events: DataFrame, key: str, amount: Column) -> DataFrame:
     order = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("usage", F.sum(amount).over(order))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import text as tx
 from quotemill.operators import documents as dc
+from quotemill.operators import entities as en
 from quotemill.plans.registry import query
 from quotemill.sources import quotations as src
 
@@ -36,10 +37,14 @@ def pdf_literal_scan(spark, d):
     return src.table(spark, d, "part").select("p_partkey", dc.pdf_literals(raw).alias("text"))
 
 
-@query("SELECT page_id, (length(html) - length(replace(html, '<img', ''))) // 4 AS images, (length(html) - length(replace(html, '<img', ''))) // 4 > 0 AND page_id % 40 < 20 AS ocr_required FROM pages")
+_SHOWN = "trim(regexp_replace(html, '<[^>]*>|\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, (length(html) - length(replace(html, '<img', ''))) // 4 AS images, length({_SHOWN})::INT AS text_length, (length(html) - length(replace(html, '<img', ''))) // 4 > 0 AND length({_SHOWN}) < 20 AS ocr_required FROM pages")
 def ocr_needed(spark, d):
     images = F.regexp_count("html", F.lit("<img")).cast("long")
-    return src.table(spark, d, "pages").select("page_id", images.alias("images"), dc.needs_ocr(F.col("page_id") % 40, images).alias("ocr_required"))
+    size = F.length(F.trim(F.regexp_replace("html", "<[^>]*>|\\s+", " ")))
+    return src.table(spark, d, "pages").select("page_id", images.alias("images"), size.alias("text_length"), dc.needs_ocr(size, images).alias("ocr_required"))
 
 
 _HEADER = " + ".join(f"contains(lower(array_to_string(rows[1], ' ')), '{m}')::INT" for m in tx.HEADER_MARKERS) + " >= 2"
@@ -60,13 +65,14 @@ def table_to_items(spark, d):
     return dc.table_items(src.table(spark, d, "documents").select("doc_id", dc.text_rows(F.col("text")).alias("rows")), "rows")
 
 
-@query("WITH " + src.ITEMS_SQL + " SELECT document_id, 2 * count(*) AS strict_items, count(*) AS items FROM items GROUP BY 1")
+@query("WITH " + src.ITEMS_SQL + ", x AS (SELECT 'Q' || pos // 100000000 AS document_id, description, CASE WHEN quantity = '' THEN '1' ELSE quantity END AS q, CASE WHEN size % 3 = 0 THEN '' ELSE unit END AS u, price_cents FROM items) SELECT document_id, 2 * count(*) AS strict_items, count(DISTINCT (description, q, u, price_cents)) AS items FROM x GROUP BY 1")
 def canonical_items(spark, d):
-    names = ["document_id", "pos", "description", "quantity", "unit_price", "unit"]
-    parsed = src.item_lines(spark, d).select("document_id", "pos", tx.item_fields(F.col("line")).alias("x")).where("x is not null").select("document_id", "pos", "x.*").select(names)
-    strict = dc.canonical_items(parsed, parsed, names, strict=True).groupBy("document_id").agg(F.count("*").alias("strict_items"))
-    once = dc.canonical_items(parsed, parsed, names).groupBy("document_id").agg(F.count("*").alias("items"))
-    return strict.join(once, "document_id")
+    names = ["document_id", "description", "quantity", "unit_price", "unit"]
+    named = tx.text_items(src.quotation_texts(spark, d), ["document_id"])
+    tables = en.items_table(named.withColumn("n", F.regexp_extract("item_id", "(\\d+)$", 1).cast("int")), ["document_id"], "n")
+    decoded = dc.table_items(tables, "rows").select(names)
+    both = lambda strict: dc.canonical_items(decoded, named.select(names), names, strict).groupBy("document_id")
+    return both(True).agg(F.count("*").alias("strict_items")).join(both(False).agg(F.count("*").alias("items")), "document_id")
 
 
 @query("SELECT o_orderkey AS document_id, o_orderpriority AS content FROM orders WHERE o_orderkey % 5 IN (0, 2, 3) UNION ALL SELECT o_orderkey, o_orderstatus FROM orders")
@@ -138,7 +144,9 @@ def result_registry(spark, d):
     return dc.last_write(src.table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("WITH " + src.ITEMS_SQL + " SELECT DISTINCT process_id, document_id, 'REQ ' || process_id AS requirement FROM items")
+@query("WITH " + src.ITEMS_SQL + " SELECT DISTINCT process_id, document_id, 'REQ ' || o_orderpriority AS requirement FROM items JOIN (SELECT strftime(o_orderdate, '%Y-%m') AS p, min(o_orderpriority) AS o_orderpriority FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON p = process_id WHERE provider_id LIKE '%4'")
 def context_integration(spark, d):
     models = src.items(spark, d).select("process_id", "document_id").distinct()
-    return dc.integrate_context(models, models.select("process_id", "document_id", F.concat(F.lit("REQ "), F.col("process_id")).alias("requirement")))
+    wanted = src.table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("process_id")).agg(F.concat(F.lit("REQ "), F.min("o_orderpriority")).alias("requirement"))
+    of = wanted.select("process_id", F.explode(F.array(*(F.concat("process_id", F.lit(f"/N{n}")) for n in (4, 14, 24)))).alias("document_id"), "requirement")
+    return dc.integrate_context(models, of)

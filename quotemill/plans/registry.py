@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _register() -> None:
-    from quotemill.plans import contents, documents, evidence, models, operations, quality  # noqa: F401  they add their queries to this module's
+    from quotemill.plans import cases, contents, documents, evidence, models, operations, quality  # noqa: F401  they add their queries to this module's
 
 
 def queries() -> dict:
