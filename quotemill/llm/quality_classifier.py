@@ -112,12 +112,28 @@ def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-_COUNTED = "view int, fold int, bucket int, label int, n double"
+#: Counts go from task to task as slices of so many buckets, a row each.
+SLICE = 1 << 12
+_COUNTED = "view int, fold int, label int, slice int, n binary"
 
 
 def _counts(view: int, fold: int, label: int, n: np.ndarray) -> pa.RecordBatch:
-    used = np.flatnonzero(n)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)) for k in (view, fold)] + [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), label, np.int32)), pa.array(n[used].astype(float))], ["view", "fold", "bucket", "label", "n"])
+    parts = {k // SLICE: n[k : k + SLICE] for k in range(0, len(n), SLICE)}
+    parts = {k: v.astype("<f8").tobytes() for k, v in parts.items() if v.any()}
+    keys = [pa.array([x] * len(parts), pa.int32()) for x in (view, fold, label)]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(list(parts), pa.int32()), pa.array(list(parts.values()), pa.binary())], ["view", "fold", "label", "slice", "n"])
+
+
+def _added(batches):
+    """The sums of counts that have the same keys, of which a task has a few."""
+    total: dict = {}
+    for b in batches:
+        for *key, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            v = np.frombuffer(n, "<f8")
+            total[tuple(key)] = total[tuple(key)] + v if tuple(key) in total else v
+    if total:
+        cols = list(zip(*total, strict=True))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["view", "fold", "label", "slice", "n"])
 
 
 def _counted(batches):
@@ -164,11 +180,9 @@ def _taught(model):
 def _sums(counted: DataFrame, folds: int) -> list[np.ndarray]:
     """Counts by view as arrays (fold, label, bucket); there are no more rows than these have numbers."""
     out = [np.zeros((folds, 2, k)) for k in (BUCKETS, _PAGE, 1, 1)]
-    got = counted.groupBy("view", "fold", "bucket", "label").agg(F.sum("n").alias("n")).toArrow()
-    view, fold, bucket, label, n = (got[c].to_numpy() for c in ("view", "fold", "bucket", "label", "n"))
-    for v, o in enumerate(out):
-        at = view == v
-        o[fold[at], label[at], bucket[at]] = n[at]
+    for r in counted.repartition("view", "slice").mapInArrow(_added, _COUNTED).collect():  # a row for each slice of these arrays
+        v = np.frombuffer(r.n, "<f8")
+        out[r.view][r.fold, r.label, r.slice * SLICE : r.slice * SLICE + len(v)] += v
     return out
 
 
