@@ -31,7 +31,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles reach a Jaccard similarity of 0.8, and what these connect, the document with the least id stays."""
+    """Of texts that SimHash links (op10's fingerprints), or whose five-word shingles reach a Jaccard similarity of 0.8, and what
+    these connect, the document with the least id stays."""
     ship(spark)
     return without_near_copies(docs, ("lang", "source", "n_chars")).select(*COLUMNS)
 

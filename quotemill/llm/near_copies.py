@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
-from quotemill.llm.simhash import BLOCK, SEED
+from quotemill.llm.simhash import BLOCK, SEED, fingerprint, linked_fingerprints
 from quotemill.llm.token_binary import _partition
 from quotemill.llm.tokenizing import _mix, relieve, sliced
 from quotemill.operators import graph
@@ -262,8 +262,23 @@ def _links(marked: DataFrame, groups: DataFrame, reach: int | None, name: str) -
     return pairs
 
 
-def _classes(marked: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """(node, root): the least node that each of ``nodes`` (node, n, bits) can reach over similar sets."""
+def _fingerprinted(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), _long([fingerprint(t) for t in b.column(1).to_pylist()])], ["node", "fp"])
+
+
+def _simhash_links(marked: DataFrame) -> DataFrame:
+    """(a, b): sets that the SimHash operator's fingerprints, search and distance connect, each linked to the least of them."""
+    prints, _ = common.materialize(marked.select("node", "text").mapInArrow(_fingerprinted, "node long, fp long").distinct(), "set-fingerprints")
+    fps, _ = common.materialize(prints.select("fp").distinct(), "distinct-fingerprints")
+    roots = graph.roots(linked_fingerprints(fps)).withColumnRenamed("node", "fp")
+    rooted = prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")).distinct()
+    least = rooted.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return common.materialize(rooted.join(least, "root").where("node <> b").select(F.col("node").alias("a"), "b"), "simhash-links")[0]
+
+
+def _classes(marked: DataFrame, nodes: DataFrame, block: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, root): the least node that each of ``nodes`` (node, n, bits) can reach over similar sets and the links ``known`` (a, b)."""
     sample = marked.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_all, "key long")
     often = sample.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON).select("key").collect()
     last = np.sort(np.array([r.key for r in often], np.int64).view(np.uint64))
@@ -285,6 +300,7 @@ def _classes(marked: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     common.release(marked.sparkSession, at)
     alone = {c: F.col("node") for c in ("label", *_BACK)}
     near = _links(marked, groups.where(F.col("rank") <= EARLY).withColumns(alone), CHAIN, "chain")
+    near = near if known is None else near.unionByName(known)
     labelled = groups.join(graph.roots(near), "node", "left").withColumn("label", F.coalesce("root", F.col("node")))
     roots = graph.roots(near.unionByName(_links(marked, labelled, None, "rest")))
     common.release(marked.sparkSession, of)
@@ -312,8 +328,12 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, others: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """One row of each component of ``docs`` (doc_id, text, others): the one with the least doc_id, or, without any, the first by hash."""
+    """One row of each component of ``docs`` (doc_id, text, others): the one with the least doc_id, or, without any, the first by hash.
+
+    SimHash links come first; the search of similar sets finds the near copies beyond their distance.
+    Components are those of both kinds of links, and no pair that is connected is left for its last round.
+    """
     marked, nodes = _prepared(docs, others)
-    heads = nodes.join(_classes(marked, nodes, block), "node").groupBy("root").agg(F.min("head").alias("head"))
+    heads = nodes.join(_classes(marked, nodes, block, _simhash_links(marked)), "node").groupBy("root").agg(F.min("head").alias("head"))
     gone, _ = common.materialize(marked.select("uid").join(heads.select(F.col("head.uid").alias("uid")), "uid", "left_anti"), "near-copies")
     return marked.join(_few(gone), "uid", "left_anti").select("doc_id", "text", *others)

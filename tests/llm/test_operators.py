@@ -358,3 +358,23 @@ def test_pipeline_takes_near_copies_more_than_three_bits_apart(spark):
     assert max(apart) > simhash.DISTANCE
     near = p.near_duplicate(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert [r.doc_id for r in near.collect()] == [0]
+
+
+def test_pipeline_takes_what_simhash_links_below_the_similarity(spark):
+    import corpus_pipeline as p
+
+    def moved(seed):
+        rng = random.Random(seed)
+        lines = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(6)) for _ in range(60)]
+        copy = list(lines)
+        for _ in range(5):
+            copy.insert(rng.randrange(60), copy.pop(rng.randrange(60)))
+        return "\n".join(lines), "\n".join(copy)
+
+    def only_simhash(one, two):
+        a, b = (near_copies.shingles(t).tobytes() for t in (one, two))
+        return bin(simhash.fingerprint(one) ^ simhash.fingerprint(two)).count("1") <= simhash.DISTANCE and not near_copies._similar(a, b)
+
+    one, two = next(x for x in map(moved, range(2000)) if only_simhash(*x))
+    docs = spark.createDataFrame([(5, two, "en", "s", 1), (4, one, "en", "s", 1), (6, "another text", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.near_duplicate(spark, docs, "").collect()) == [4, 6]
