@@ -8,6 +8,7 @@ import pytest
 from quotemill import store
 from quotemill.operators import concepts as co
 from quotemill.plans import registry
+from quotemill.sources import quotations as src
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +85,48 @@ def test_pairs_are_numbered_without_being_written(spark):
     got = co.equivalences(concepts, {k: co.pair_detector(k) for k in co.RELATIONS})
     assert got.count() > 100_000
     assert sum(spark.read.parquet(at).count() for at in set(store._written) - before) < 10 * len(rows)
+
+
+def test_numbered_pairs_do_not_depend_on_batches(spark, monkeypatch):
+    for name, n in (("_TOGETHER", 7), ("_LOOKED_AT", 5), ("_MADE", 3)):
+        monkeypatch.setattr(co, name, n)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for positions in (30, 100_000):
+            concepts, rows = made_up(spark, 200, 3, 4, positions, positions + 1)
+            got = co.equivalences(concepts, {n: co.pair_detector(n) for n in co.RELATIONS})
+            assert sorted((r.process_id, r.a, r.b, r.detector, r.sequence) for r in got.collect()) == brute_force(rows, list(co.RELATIONS))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def generated(plan):
+    """Rows that the generators of an executed plan made."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    return own + sum(map(generated, inner))
+
+
+def test_hardly_more_rows_than_pairs_are_made(spark):
+    rows = [("p", f"d{i % 9}", i * 3, "material" if i % 4 else "partida", "v", i % 2) for i in range(600)]
+    concepts = spark.createDataFrame(rows, "process_id string, document_id string, pos long, concept_type string, normalized_value string, origin long")
+    run = co.equivalences(concepts, {k: co.pair_detector(k) for k in co.RELATIONS})._jdf.queryExecution()
+    pairs = run.toRdd().count()
+    assert pairs > 100_000
+    assert pairs <= generated(run.executedPlan()) < 1.1 * pairs
+
+
+def test_a_text_is_normalised_once_for_a_part(spark, crowded):
+    lines, parts = (spark.read.parquet(f"{crowded}/{t}.parquet").count() for t in ("lineitem", "part"))
+    plan = src.item_values(spark, crowded)._jdf.queryExecution()
+    assert plan.toRdd().count() == lines > 5 * parts
+
+    def below(node, name):
+        """What a Python node under ``node`` was given: the rows of the nodes below it."""
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        found = [node.metrics().apply("pythonNumRowsReceived").value()] if name in node.nodeName() else []
+        return found + [x for i in inner for x in below(i, name)]
+
+    python = below(plan.executedPlan(), "EvalPython")
+    assert python and all(0 < n <= parts for n in python)
